@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import best_fit, positional_index, secret_scan
+from tidegrid.llm import best_fit, fss_minhash, positional_index, secret_scan, weak_toxicity
 from tidegrid.llm.shared import stored
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not call toxic. It is fitted on these documents and the table of labels."""
+    scorer = weak_toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return weak_toxicity.accepted(docs, scorer)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that links reach: that with the smallest doc_id."""
+    gone = fss_minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any benchmark window. A document with a hit goes as a whole; rows are told apart by doc_id."""
     found = positional_index.matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -26,6 +38,8 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 STAGES = [
+    ("toxicity", toxicity),
+    ("minhash_near_dedup", near_duplicates),
     ("benchmark_decontamination", benchmark_decontamination),
     ("secret_scans", secret_redaction),
     ("best_fit_packing", best_fit_packing),
