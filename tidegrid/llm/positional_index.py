@@ -20,7 +20,8 @@ from tidegrid.llm import textvec as tv
 
 U64 = np.uint64
 BLOCK_BYTES = 8 << 20
-STATE = "doc_id long, text string, n_words long, hits binary, items array<string>"
+STATE = "doc_id long, text string, hits binary, items array<string>"
+OUT = "doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
 POSTINGS = "shard long, term long, doc_id long, positions array<int>"
 
 
@@ -122,16 +123,26 @@ class Queries:
 
 
 def item_blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int):
-    """Blocks of test items, each of about block_bytes at most, one after another on the driver."""
+    """Whether it is the last, ids and texts of blocks of test items, each of about block_bytes at most, one after another on the driver."""
     items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(text).cast("string").alias("text"))
     n = max(1, -(-sh.text_bytes(items) // block_bytes))
     for k in range(n):
         rows = (items if n == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)).collect()
-        yield [r["item"] for r in rows], [r["text"] for r in rows]
+        yield k == n - 1, [r["item"] for r in rows], [r["text"] for r in rows]
+
+
+def _spans(n_words: int, raw: bytes) -> list[dict]:
+    """The maximal runs that some pairs of start and end cover."""
+    if not raw:
+        return []
+    p = np.frombuffer(raw, np.int32).reshape(-1, 2)
+    d = np.bincount(p[:, 0], minlength=n_words + 1) - np.bincount(p[:, 1], minlength=n_words + 1)
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], (np.cumsum(d) > 0)[:n_words].astype(np.int8), [0]])))
+    return [{"start": int(x), "end": int(y)} for x, y in edge.reshape(-1, 2)]
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 10, span: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, text, n_words, spans (runs of hit words, end exclusive) and items (ids as strings, sorted) for each row of docs.
+    """doc_id, n_words, spans (runs of hit words, end exclusive) and items (ids as strings, sorted) for each row of docs.
 
     A window is `size` consecutive words of an item; a shorter item that has words is one window. A
     word inside any occurrence of a window is hit. With span, a window also matches in proximity:
@@ -139,12 +150,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
     are hit. Words: lower-cased (A-Z), [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+. Null texts, of either table, have no
     words; a null item_id matches but is not listed; equal items count each. Other columns are ignored.
     """
-    out = sh.id_text(docs, doc_id, text).select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.lit(b"").alias("hits"), F.array().cast("array<string>").alias("items"))
+    out = sh.id_text(docs, doc_id, text).select("doc_id", "text", F.lit(b"").alias("hits"), F.array().cast("array<string>").alias("items"))
     context = docs.sparkSession.sparkContext
-    for ids, texts in item_blocks(benchmark, item_id, item_text, block_bytes):
+    for last, ids, texts in item_blocks(benchmark, item_id, item_text, block_bytes):
         shared = context.broadcast(Queries(ids, texts, size))
 
-        def work(batch: pa.RecordBatch, shared=shared) -> pa.Table:
+        def work(batch: pa.RecordBatch, shared=shared, last=last) -> pa.Table:
             asked = shared.value
             n_words, hits, items = [], batch["hits"].to_pylist(), [set(x) for x in batch["items"].to_pylist()]
             for lo, hi, b, offs in tv.blocks(batch["text"]):
@@ -172,23 +183,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
                         hits[lo + r] += pairs[mine].tobytes()
                         for x in np.unique(number[mine]):
                             items[lo + r].update(asked.ids[i] for i in who[edges[x] : edges[x + 1]] if asked.ids[i] is not None)
-            return pa.table({"doc_id": batch["doc_id"], "text": batch["text"], "n_words": pa.array(n_words, pa.int64()), "hits": pa.array(hits, pa.binary()), "items": pa.array([sorted(x) for x in items], pa.list_(pa.string()))})
-
-        out = sh.map_batches(out, work, STATE)
-
-    def joined(batch: pa.RecordBatch) -> pa.Table:
-        spans = []
-        for n, raw in zip(batch["n_words"].to_pylist(), batch["hits"].to_pylist()):
-            if not raw:
-                spans.append([])
-                continue
-            p = np.frombuffer(raw, np.int32).reshape(-1, 2)
-            d = np.bincount(p[:, 0], minlength=n + 1) - np.bincount(p[:, 1], minlength=n + 1)
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], (np.cumsum(d) > 0)[:n].astype(np.int8), [0]])))
-            spans.append([{"start": int(x), "end": int(y)} for x, y in edge.reshape(-1, 2)])
-        return pa.table({"doc_id": batch["doc_id"], "n_words": batch["n_words"], "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), "items": batch["items"]})
-
-    return sh.map_batches(out.drop("text"), joined, "doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<string>")
+            listed = pa.array([sorted(x) for x in items], pa.list_(pa.string()))
+            if not last:
+                return pa.table({"doc_id": batch["doc_id"], "text": batch["text"], "hits": pa.array(hits, pa.binary()), "items": listed})
+            spans = pa.array([_spans(n, raw) for n, raw in zip(n_words, hits)], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+            return pa.table({"doc_id": batch["doc_id"], "n_words": pa.array(n_words, pa.int64()), "spans": spans, "items": listed})
+
+        out = sh.map_batches(out, work, OUT if last else STATE)
+    return out
 
 
 def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

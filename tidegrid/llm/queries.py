@@ -71,5 +71,60 @@ def queries() -> dict:
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
+
+_WORDS = r"list_filter(string_split_regex({text}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = r"regexp_extract_all({text}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+_SQL2 = f"""
+WITH docs AS (SELECT doc_id, {_WORDS.format(text="coalesce(text, '')")} AS w FROM documents),
+places AS (SELECT doc_id, w, unnest(generate_series(1, len(w) - 49)) AS i FROM docs WHERE len(w) >= 50),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS k FROM places),
+hits AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY k) AS least FROM windows) WHERE least < doc_id),
+gone AS (SELECT DISTINCT doc_id, i + j AS i FROM hits CROSS JOIN range(0, 50) AS r(j)),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(generate_series(1, len(w))) AS i FROM docs),
+marked AS (SELECT w.*, g.i IS NOT NULL AS gone FROM words w LEFT JOIN gone g ON w.doc_id = g.doc_id AND w.i = g.i),
+runs AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), FALSE) AS begins FROM marked),
+kept AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE begins) AS n_spans, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS text FROM runs GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256, coalesce(n_spans, 0) AS n_spans FROM docs d LEFT JOIN kept k ON d.doc_id = k.doc_id"""
+
+_SQL5 = f"""
+WITH items AS (SELECT CAST(item_id AS VARCHAR) AS item, {_TERMS.format(text=_LOWER)} AS w FROM benchmark),
+wanted AS (SELECT DISTINCT item, k, array_to_string(w[i:i + k - 1], ' ') AS key FROM (SELECT item, w, least(10, len(w)) AS k, unnest(generate_series(1, len(w) - least(10, len(w)) + 1)) AS i FROM items WHERE len(w) > 0)),
+docs AS (SELECT doc_id, {_TERMS.format(text=_LOWER)} AS w FROM documents),
+found AS (SELECT doc_id, i, p.k, item FROM (SELECT doc_id, i, k, array_to_string(w[i:i + k - 1], ' ') AS key FROM (SELECT doc_id, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM docs CROSS JOIN (SELECT DISTINCT k FROM wanted) WHERE len(w) >= k)) p JOIN wanted x ON p.k = x.k AND p.key = x.key),
+hit AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + k - 1)) AS place FROM found) GROUP BY doc_id),
+who AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN who ON d.doc_id = who.doc_id"""
+
+_SQL6 = f"""
+WITH RECURSIVE docs AS (SELECT doc_id, {_WORDS.format(text=_LOWER)} AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS k FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM docs WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT c.a, c.b FROM common c JOIN sizes x ON x.doc_id = c.a JOIN sizes y ON y.doc_id = c.b WHERE 100 * c.n >= 85 * (x.n + y.n - c.n)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM docs UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, r.c AS component_id, r.c = d.doc_id AS kept FROM docs d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) r ON r.a = d.doc_id"""
+
+_CODE = "CASE WHEN length(g) >= {i} THEN unicode(substr(g, {i}, 1)) ELSE 0 END"
+_SQL10 = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {_WORDS.format(text="coalesce(text, '')")} AS w,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM documents),
+words AS (SELECT r, doc_id, unnest(w) AS word, unnest(generate_series(1, len(w))) AS i FROM docs),
+windows AS (SELECT r, i, array_to_string(w[i:i + 4], ' ') AS k FROM (SELECT r, w, unnest(generate_series(1, len(w) - 4)) AS i FROM docs WHERE len(w) >= 5)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, k) AS n FROM windows) WHERE n > 1),
+repeated AS (SELECT r, count(DISTINCT i + j) AS n FROM twice CROSS JOIN range(0, 5) AS x(j) GROUP BY r),
+grams AS (SELECT r, doc_id, ({_CODE.format(i=1)} * 961 + {_CODE.format(i=2)} * 31 + {_CODE.format(i=3)}) % {ngram_ratio.BUCKETS} AS bucket FROM (SELECT r, doc_id, right(word, 3) AS g FROM words)),
+counts AS (SELECT bucket, count(*) AS raw, count(*) FILTER (WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)) AS good FROM grams GROUP BY bucket),
+weights AS (SELECT bucket, ln((good + 0.5) / (sum(good) OVER () + 0.5 * {ngram_ratio.BUCKETS})) - ln((raw + 0.5) / (sum(raw) OVER () + 0.5 * {ngram_ratio.BUCKETS})) AS weight FROM counts),
+scores AS (SELECT r, avg(weight) AS score FROM grams JOIN weights USING (bucket) GROUP BY r),
+rules AS (SELECT d.r, d.doc_id, len(w) AS n_words, coalesce(len(array_to_string(w, '')), 0) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+  len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(x.n, 0) AS n_repeat_words FROM docs d LEFT JOIN repeated x ON x.r = d.r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND coalesce(score, 0) >= {ngram_ratio.THRESHOLD} AS kept FROM rules LEFT JOIN scores ON rules.r = scores.r"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the queries that have one: learned models, tokenizers, decoders and byte strings do not."""
+    return {"op2_substring_dedup": _SQL2, "op5_decontamination": _SQL5, "op6_minhash": _SQL6, "op10_quality_rules": _SQL10}
