@@ -37,8 +37,13 @@ def static(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panel.static_columns(history(spark, sf_dir))
 
 
+#: Prices are quotients of cents, so many stand exactly between two rounded values; both sides add this before they round.
+OFF_TIES = 3e-7
+
+
 def rounded(df: DataFrame, *columns: str, digits: int = DIGITS) -> DataFrame:
-    return df.withColumns({c: F.round(F.col(c).cast("double"), digits) for c in columns})
+    off = lambda c: F.lit(OFF_TIES) if "price" in c else F.lit(0.0)
+    return df.withColumns({c: F.round(F.col(c).cast("double") + off(c), digits) for c in columns})
 
 
 # ---- the SQL side: common table expressions that the queries' SQL begins with
@@ -146,10 +151,10 @@ def query(name: str, sql: str | None = None):
 
 
 _ROW = "id, date, round(sales_quantity, 4) AS sales_quantity"
-_MEANS = "round({a}(wm_yr_wk){z}, 4) AS wm_yr_wk, round({a}(wday){z}, 4) AS wday, round({a}(month){z}, 4) AS month, round({a}(year){z}, 4) AS year, round({a}(sell_price){z}, 4) AS sell_price"
+_MEANS = "round({a}(wm_yr_wk){z}, 4) AS wm_yr_wk, round({a}(wday){z}, 4) AS wday, round({a}(month){z}, 4) AS month, round({a}(year){z}, 4) AS year, round({a}(sell_price){z} + 3e-7, 4) AS sell_price"
 
 
-@query("scan_panel", _sql(f"SELECT {_ROW}, round(sell_price, 4) AS sell_price, item_id, dept_id, cat_id, store_id, state_id, wm_yr_wk, wday, month, year, event_name_1, event_type_1, snap_CA, snap_TX, snap_WI FROM raw"))
+@query("scan_panel", _sql(f"SELECT {_ROW}, round(sell_price + 3e-7, 4) AS sell_price, item_id, dept_id, cat_id, store_id, state_id, wm_yr_wk, wday, month, year, event_name_1, event_type_1, snap_CA, snap_TX, snap_WI FROM raw"))
 def scan_panel(spark, sf_dir):
     return rounded(raw(spark, sf_dir), "sales_quantity", "sell_price")
 
@@ -181,7 +186,7 @@ def split_hist(spark, sf_dir):
     return rounded(history(spark, sf_dir).select("id", "date", "sales_quantity"), "sales_quantity")
 
 
-@query("split_future", _sql("SELECT id, date, wday, month, year, event_name_1, snap_CA, round(sell_price, 4) AS sell_price FROM future"))
+@query("split_future", _sql("SELECT id, date, wday, month, year, event_name_1, snap_CA, round(sell_price + 3e-7, 4) AS sell_price FROM future"))
 def split_future(spark, sf_dir):
     return rounded(panel.split(cleaned(spark, sf_dir), CUTOFF)[1].select("id", "date", "wday", "month", "year", "event_name_1", "snap_CA", "sell_price"), "sell_price")
 
@@ -348,7 +353,7 @@ def missing_ids(spark, sf_dir):
     return evaluate.missing_series(static(spark, sf_dir), actuals(spark, sf_dir))
 
 
-_PRICE = "SELECT f.id, f.date, round(f.full_price, 4) AS price FROM filled f CROSS JOIN grid WHERE f.t > grid.last_t - 28"
+_PRICE = "SELECT f.id, f.date, round(f.full_price + 3e-7, 4) AS price FROM filled f CROSS JOIN grid WHERE f.t > grid.last_t - 28"
 
 
 @query("price_fill", _sql(_PRICE, GRID, WEIGHTS))
