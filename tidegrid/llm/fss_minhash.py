@@ -161,7 +161,9 @@ def links(docs: DataFrame, representatives: DataFrame, doc_id: str = "doc_id", t
         return pa.table({"member": batch["doc_id"], "shingles": pa.array(sets, pa.binary())})
 
     texts = sh.id_text(docs, doc_id, text)
-    sets = sh.map_batches(texts.join(wanted, texts["doc_id"] == wanted["member"], "left_semi"), set_of, "member long, shingles binary")
+    # the ids wanted grow with the corpus, so they are hashed where their texts are shuffled to, at every size alike
+    found = texts.join(wanted.hint("shuffle_hash"), texts["doc_id"] == wanted["member"], "left_semi")
+    sets = sh.map_batches(found, set_of, "member long, shingles binary")
     split = pairs.groupBy("centre").agg(F.ceil((F.count("*") + 1) / F.lit(members)).cast("int").alias("blocks"))
     everyone = pairs.unionByName(pairs.select("centre", F.col("centre").alias("member")).distinct()).join(split, "centre")
     own = F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int")
