@@ -181,7 +181,7 @@ def test_secrets():
     assert kinds("k " + key.hex() + " k") == ["hex", "der"]
     assert kinds("k " + base64.b64encode(ssh).decode() + " k") == ["sshkey"]
     assert kinds("Token: secret=abcdef AKIA" + "A" * 16 + " " + "0a" * 12) == ["assign", "access", "hex"]
-    assert kinds("secret:token='abcdefgh'") == []  # the first match is too short and takes the second's beginning
+    assert kinds("secret:token:'abcdefgh'") == []  # the first match is too short and takes the second's beginning
     assert kinds("paſſword=abcdefgh AKIAshort " + "ab" * 11) == []
     assert secret_scan.scan_text(None) == [] == secret_scan.scan_text("")
     s = secret_scan.scan_text("éé api_key = \"abcdef\"")[0]

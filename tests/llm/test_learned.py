@@ -15,14 +15,15 @@ def test_label_model_recovers_accuracies():
     rng = np.random.default_rng(0)
     y = rng.random(40_000) < 0.3
     flip = lambda p: np.where(rng.random(len(y)) < p, ~y, y).astype(int)
-    a, b, c = flip(0.1), flip(0.2), flip(0.15)
+    a, b, c, d = flip(0.1), flip(0.2), flip(0.15), flip(0.25)
     copy = np.where(rng.random(len(y)) < 0.95, b, 1 - b)  # says what b says
-    votes = np.stack([a, b, c, copy], 1)
+    votes = np.stack([a, b, c, copy, d], 1)
     patterns, inverse, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
-    model = label_model.LabelModel([2] * 4).fit(patterns, counts.astype(float), patterns.mean(axis=1))
-    assert model.prior == pytest.approx(0.3, abs=0.04)
+    model = label_model.LabelModel([2] * 5, find_copies=True).fit(patterns, counts.astype(float), np.stack([1 - patterns.mean(axis=1), patterns.mean(axis=1)], 1))
+    assert model.copies == {(1, 3)}
+    assert model.prior[1] == pytest.approx(0.3, abs=0.04)
     assert model.parents[3] == 1 or model.parents[1] == 3
-    q = model.posterior(patterns)[inverse.reshape(-1)]
+    q = model.posterior(patterns)[:, 1][inverse.reshape(-1)]
     assert ((q > 0.5) == y).mean() > 0.9
     accuracy = model.accuracies()
     assert accuracy[0][1][1] == pytest.approx(0.9, abs=0.05)

@@ -10,39 +10,74 @@ import numpy as np
 
 
 class LabelModel:
-    """P(y) and P(vote i | its parent's vote, y) for a binary y; the parents form a forest over correlated voters.
-
-    Votes are small integers; sizes[i] says how many values voter i has. Accuracies are the vote
-    probabilities given y. Correlations beyond y are found by mutual information given y: the
-    strongest become edges of a forest (a maximum spanning one), so that voters which copy each other
-    do not count twice.
+    """P(z) and P(vote i | its parent's vote, z) for a hidden kind z; the parents form a forest over correlated voters.
+
+    Votes are small integers; sizes[i] says how many values voter i has. There may be several kinds of
+    either answer: faults that exclude each other are one kind each, or the silence of all other
+    voters would outvote the one that found something. Accuracies are the vote probabilities given z.
+    Correlations beyond z are found by mutual information given z: the strongest become edges of a
+    forest (a maximum spanning one), so that voters which copy each other do not count twice. With
+    find_copies, pairs are looked for first without z as well, as a pair of copies can draw z to itself
+    before information given z shows it: were all voters independent given one binary z, covariances
+    would be products of one number a voter, c_ij = a_i a_j. Pairs far above that are edges from the
+    start. prior, if given, is kept; fixed maps voters to tables (kind, vote) that are kept, so that
+    known annotations say which kind is which.
     """
 
-    def __init__(self, sizes: list[int], least_information: float = 2e-3):
-        self.sizes, self.least = list(sizes), least_information
-        self.prior, self.parents, self.tables = 0.5, [-1] * len(sizes), []
+    def __init__(self, sizes: list[int], least_information: float = 2e-3, find_copies: bool = False, prior: np.ndarray | None = None, fixed: dict[int, np.ndarray] | None = None):
+        self.sizes, self.least, self.find_copies, self.given, self.fixed = list(sizes), least_information, find_copies, prior, fixed or {}
+        self.prior, self.parents, self.tables, self.copies = np.array([0.5, 0.5]), [-1] * len(sizes), [], set()
 
     def _pair(self, v: np.ndarray, w: np.ndarray, i: int, j: int) -> np.ndarray:
-        """Weighted counts by y, vote i and vote j; smoothed."""
+        """Weighted counts by kind, vote i and vote j; smoothed."""
         a, b = self.sizes[i], self.sizes[j]
-        out = np.empty((2, a, b))
-        for y in (0, 1):
-            out[y] = np.bincount(v[:, i] * b + v[:, j], weights=w[:, y], minlength=a * b).reshape(a, b)
-        return out + 0.05
+        return np.stack([np.bincount(v[:, i] * b + v[:, j], weights=x, minlength=a * b).reshape(a, b) for x in w.T]) + 0.05
+
+    def _copies(self, v: np.ndarray, counts: np.ndarray, start: np.ndarray) -> set[tuple[int, int]]:
+        """Pairs whose covariance is far above the product that fits the other pairs."""
+        n, total = len(self.sizes), max(counts.sum(), 1.0)
+        coded = np.zeros(v.shape)
+        for i, size in enumerate(self.sizes):  # a vote counts as the mean first guess of the texts that got it
+            weight = np.bincount(v[:, i], weights=counts, minlength=size)
+            coded[:, i] = (np.bincount(v[:, i], weights=counts * start, minlength=size) / np.maximum(weight, 1e-9))[v[:, i]]
+        coded -= (counts @ coded) / total
+        c = (coded * counts[:, None]).T @ coded / total
+        scale = np.sqrt(np.maximum(np.diag(c), 1e-12))
+        c = c / scale / scale[:, None]
+        pairs = [(i, j) for i in range(n) for j in range(i + 1, n) if c[i, j] > 0.03]
+        found: set[tuple[int, int]] = set()
+
+        def fit(kept: list[tuple[int, int]]) -> tuple[float, np.ndarray]:
+            x = np.zeros((len(kept), n))
+            for line, pair in enumerate(kept):
+                x[line, list(pair)] = 1
+            y = np.log([c[p] for p in kept])
+            a, *_ = np.linalg.lstsq(x, y, rcond=None)
+            return float(((y - x @ a) ** 2).sum()), a
+
+        while len(pairs) > n:  # the pair without which the others fit best, as long as that helps and it stands above the fit
+            now, _ = fit(pairs)
+            trials = [(fit([p for p in pairs if p != q]), q) for q in pairs]
+            (least, a), (i, j) = min(trials, key=lambda x: x[0][0])
+            if now - least < 0.05 or np.log(c[i, j]) - a[i] - a[j] < 0.25:
+                break
+            pairs.remove((i, j))
+            found.add((i, j))
+        return found
 
-    def _structure(self, v: np.ndarray, w: np.ndarray) -> None:
+    def _structure(self, v: np.ndarray, w: np.ndarray, first: bool = False) -> None:
         n, edges = len(self.sizes), []
         total = w.sum()
         for i in range(n):
             for j in range(i + 1, n):
                 p = self._pair(v, w, i, j) / total
-                y = p.sum(axis=(1, 2), keepdims=True)
-                info = float((p * np.log(p * y / (p.sum(axis=2, keepdims=True) * p.sum(axis=1, keepdims=True)))).sum())
-                edges.append((info, i, j))
+                z = p.sum(axis=(1, 2), keepdims=True)
+                info = float((p * np.log(p * z / (p.sum(axis=2, keepdims=True) * p.sum(axis=1, keepdims=True)))).sum())
+                edges.append((info + 1 if (i, j) in self.copies else 0.0 if first else info, i, j))
         self.parents, group = [-1] * n, list(range(n))
         links: dict[int, list[int]] = {i: [] for i in range(n)}
         for info, i, j in sorted(edges, reverse=True):
-            if info >= self.least and group[i] != group[j]:
+            if info >= self.least and group[i] != group[j] and not {i, j} & self.fixed.keys():
                 links[i].append(j)
                 links[j].append(i)
                 old = group[j]
@@ -60,26 +95,32 @@ class LabelModel:
                         stack.append(j)
 
     def _estimate(self, v: np.ndarray, w: np.ndarray) -> None:
-        self.prior = float((w[:, 1].sum() + 1) / (w.sum() + 2))
+        self.prior = (w.sum(axis=0) + 1) / (w.sum() + w.shape[1]) if self.given is None else np.asarray(self.given, float)
         self.tables = []
         for i, parent in enumerate(self.parents):
-            t = self._pair(v, w, parent, i) if parent >= 0 else np.stack([np.bincount(v[:, i], weights=w[:, y], minlength=self.sizes[i]) for y in (0, 1)])[:, None, :] + 0.05
+            if i in self.fixed:
+                self.tables.append(np.asarray(self.fixed[i], float)[:, None, :])
+                continue
+            t = self._pair(v, w, parent, i) if parent >= 0 else np.stack([np.bincount(v[:, i], weights=x, minlength=self.sizes[i]) for x in w.T])[:, None, :] + 0.05
             self.tables.append(t / t.sum(axis=2, keepdims=True))
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        """P(y = 1 | votes) of each line."""
-        log = np.tile(np.log([1 - self.prior, self.prior]), (len(votes), 1))
+        """P(z | votes), a line for each line of votes."""
+        log = np.tile(np.log(self.prior), (len(votes), 1))
         for i, parent in enumerate(self.parents):
             log += np.log(self.tables[i][:, votes[:, parent] if parent >= 0 else np.zeros(len(votes), int), votes[:, i]]).T
-        return 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -60, 60)))
+        p = np.exp(log - log.max(axis=1, keepdims=True, initial=-1e300))
+        return p / p.sum(axis=1, keepdims=True)
 
     def fit(self, votes: np.ndarray, counts: np.ndarray, start: np.ndarray, rounds: int = 40) -> "LabelModel":
-        """votes: distinct patterns; counts: how often each occurs; start: a first guess of P(y = 1) for each, which also tells the classes apart."""
-        q = np.clip(start, 1e-3, 1 - 1e-3)
+        """votes: distinct patterns; counts: how often each occurs; start: a first guess of P(z) for each, a column a kind, which also tells the kinds apart."""
+        q = np.clip(start, 1e-3, None)
+        q = q / q.sum(axis=1, keepdims=True)
+        self.copies = self._copies(votes, counts, q[:, -1]) if self.find_copies else set()
         for k in range(rounds):
-            w = np.stack([counts * (1 - q), counts * q], 1)
-            if k in (5, 15):
-                self._structure(votes, w)
+            w = counts[:, None] * q
+            if k in (5, 15) or k == 0 and self.copies:
+                self._structure(votes, w, k == 0)
             self._estimate(votes, w)
             new = self.posterior(votes)
             done = k > 16 and np.abs(new - q).max(initial=0) < 1e-6
@@ -89,11 +130,11 @@ class LabelModel:
         return self
 
     def accuracies(self) -> list[list[list[float]]]:
-        """For each voter, the vote probabilities given y = 0 and y = 1 (averaged over the parent's votes)."""
+        """For each voter, the vote probabilities given each kind (averaged over the parent's votes)."""
         return [t.mean(axis=1).tolist() for t in self.tables]
 
 
-def sparse_logistic(at: np.ndarray, columns: np.ndarray, target: np.ndarray, dims: int, l1: float, free: int = 0, rounds: int = 150) -> tuple[np.ndarray, float]:
+def sparse_logistic(at: np.ndarray, columns: np.ndarray, target: np.ndarray, dims: int, l1: float, free: int = 0, rounds: int = 500) -> tuple[np.ndarray, float]:
     """Weights and intercept of an L1 logistic regression with soft targets over presence features (accelerated proximal gradient).
 
     Row i has the columns[at[i]:at[i + 1]]; the last `free` columns are not penalised.
@@ -120,7 +161,7 @@ def sparse_logistic(at: np.ndarray, columns: np.ndarray, target: np.ndarray, dim
     return w, float(b)
 
 
-def dense_logistic(x: np.ndarray, target: np.ndarray, l2: float = 1e-4, rounds: int = 300) -> tuple[np.ndarray, float]:
+def dense_logistic(x: np.ndarray, target: np.ndarray, l2: float = 1e-5, rounds: int = 800) -> tuple[np.ndarray, float]:
     """Weights and intercept of an L2 logistic regression with soft targets (accelerated gradient on scaled columns)."""
     scale = np.sqrt((x.astype(np.float64) ** 2).mean(axis=0)) + 1e-6
     x = (x / scale).astype(np.float32)

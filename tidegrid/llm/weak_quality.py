@@ -1,7 +1,8 @@
 """Quality classifier from weak labels.
 
-Overlapping heuristic labellers vote good, bad or nothing on each text. Expectation-maximisation over
-the counts of vote patterns of all texts estimates how accurate each labeller is, without annotations.
+Overlapping heuristic labellers vote on each text: eight watch for a fault each, two for plain prose.
+Expectation-maximisation over the counts of vote patterns of all texts estimates how accurate each
+labeller is, without annotations. Faults exclude each other, so each begins as a kind of its own.
 The posterior labels of a bounded sample of texts train a linear scorer over hashed features: the
 word-final n-grams of the text by share, and the ranges of its statistics. Every text is then scored
 in one map pass.
@@ -22,17 +23,21 @@ U64 = np.uint64
 GRAMS = 1 << 10
 RANGES = 8
 SAMPLE_ROWS = 6_000
-#: (statistic, bad beyond, good within): shares by word or by letter. A labeller abstains in between.
-LABELLERS = (
-    ("symbols", 0.15, 0.02),
-    ("pipes", 0.12, 0.01),
-    ("adjacent", 0.20, 0.03),
-    ("capitals", 0.50, 0.25),
-    ("exclaims", 0.25, 0.05),
-    ("windows", 0.20, 0.05),
-    ("lines", 0.30, 0.05),
-    ("marked", 0.40, 0.10),
+#: (statistic, bad beyond): shares by word, by letter, by window or by line. Below, these labellers say nothing.
+FAULTS = (
+    ("symbols", 0.15),
+    ("pipes", 0.12),
+    ("adjacent", 0.20),
+    ("capitals", 0.50),
+    ("exclaims", 0.25),
+    ("windows", 0.20),
+    ("lines", 0.30),
+    ("marked", 0.40),
 )
+#: (statistics that must all stay within): these labellers vote good or nothing.
+PROSE = ({"marked": 0.10, "symbols": 0.02, "capitals": 0.25}, {"windows": 0.05, "adjacent": 0.03, "lines": 0.05})
+NAMES = [name for name, _ in FAULTS]
+VOTERS = len(FAULTS) + len(PROSE)
 #: Beyond these the ranges of a statistic end; fixed, so that a range means the same at every size.
 EDGES = np.array([0.005, 0.02, 0.05, 0.1, 0.2, 0.4, 0.7])
 
@@ -58,12 +63,12 @@ def _again(keys: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
 
 
 def statistics(b: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A line of shares (as LABELLERS) and the number of words of each row; also start and end of words and each row's first."""
+    """A line of shares (as FAULTS) and the number of words of each row; also start and end of words and each row's first."""
     n = len(offs) - 1
     starts, ends, first = tv.words(b, offs)
     count = np.diff(first).astype(np.float64)
     by = np.maximum(count, 1)
-    out = np.zeros((n, len(LABELLERS)))
+    out = np.zeros((n, len(FAULTS)))
     if not len(starts):
         return out, count, starts, ends, first
     w = tv.word_hashes(b, starts, ends)
@@ -89,14 +94,18 @@ def statistics(b: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def votes_of(stats: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """0 abstains, 1 bad, 2 good; texts without words get no good votes."""
-    out = np.zeros(stats.shape, np.int64)
-    for i, (_name, bad, good) in enumerate(LABELLERS):
-        out[:, i] = np.where(stats[:, i] > bad, 1, np.where((stats[:, i] <= good) & (count > 0), 2, 0))
+    """0 says nothing, 1 bad, 2 good; texts without words get no good votes."""
+    out = np.zeros((len(stats), VOTERS), np.int64)
+    out[:, : len(FAULTS)] = stats > np.array([most for _, most in FAULTS])
+    for i, within in enumerate(PROSE, len(FAULTS)):
+        ok = count > 0
+        for name, most in within.items():
+            ok = ok & (stats[:, NAMES.index(name)] <= most)
+        out[:, i] = 2 * ok
     return out
 
 
-POWERS = 3 ** np.arange(len(LABELLERS))
+POWERS = 3 ** np.arange(VOTERS)
 
 
 def unpacked(code: np.ndarray) -> np.ndarray:
@@ -107,7 +116,7 @@ def features(b: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     """Hashed features of each row (shares of word-final trigrams, then ranges), the vote code and the number of words."""
     stats, count, starts, ends, first = statistics(b, offs)
     n = len(count)
-    x = np.zeros((n, GRAMS + RANGES * len(LABELLERS)), np.float32)
+    x = np.zeros((n, GRAMS + RANGES * len(FAULTS)), np.float32)
     if len(starts):
         code = b[ends - 1].astype(np.int64)
         for back in (2, 3):
@@ -115,7 +124,7 @@ def features(b: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
         column = (tv.mix(code.astype(U64)) >> U64(54)).astype(np.int64)
         x[:, :GRAMS] = np.bincount(tv.row_of(first, len(starts)) * GRAMS + column, minlength=n * GRAMS).reshape(n, GRAMS) / np.maximum(count, 1)[:, None]
     ranges = np.searchsorted(EDGES, stats)
-    x[np.arange(n)[:, None], GRAMS + np.arange(len(LABELLERS)) * RANGES + ranges] = 1
+    x[np.arange(n)[:, None], GRAMS + np.arange(len(FAULTS)) * RANGES + ranges] = 1
     return x, votes_of(stats, count) @ POWERS, count
 
 
@@ -124,7 +133,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample_rows
     texts = sh.id_text(docs, doc_id, text)
 
     def patterns(batches):
-        seen = np.zeros(3 ** len(LABELLERS), np.int64)
+        seen = np.zeros(3**VOTERS, np.int64)
         for batch in batches:
             for _lo, _hi, b, offs in tv.blocks(batch["text"]):
                 stats, count, *_ = statistics(b, offs)
@@ -134,12 +143,14 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample_rows
 
     table = texts.mapInArrow(patterns, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").collect()
     code, counts = np.array([r["code"] for r in table], np.int64), np.array([r["n"] for r in table], np.float64)
-    dims = GRAMS + RANGES * len(LABELLERS)
+    dims = GRAMS + RANGES * len(FAULTS)
     if not len(code):
         return np.zeros(dims), 0.0
     votes = unpacked(code)
-    bad, good = (votes == 1).sum(axis=1), (votes == 2).sum(axis=1)
-    model = LabelModel([3] * len(LABELLERS)).fit(votes, counts, np.where(bad > 0, 0.1, np.where(good > 0, 0.95, 0.4)))
+    bad = (votes == 1).sum(axis=1)
+    # kind 0 is good; each fault begins as a kind of its own, shared by the texts where several fire
+    start = np.concatenate([np.where(bad > 0, 0.02, 1.0)[:, None], (votes[:, : len(FAULTS)] == 1) / np.maximum(bad, 1)[:, None]], 1)
+    model = LabelModel([3] * VOTERS).fit(votes, counts, start)
 
     share = min(1.0, 0.9 * sample_rows / max(1.0, float(counts.sum())))
     picked = texts.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1.0))
@@ -156,7 +167,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample_rows
     if not len(got):
         return np.zeros(dims), 0.0
     x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float16).reshape(len(got), dims).astype(np.float32)
-    return dense_logistic(x, model.posterior(unpacked(got["code"].to_numpy())))
+    return dense_logistic(x, model.posterior(unpacked(got["code"].to_numpy()))[:, 0])
 
 
 def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS, threshold: float = 0.5) -> DataFrame:
