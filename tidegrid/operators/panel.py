@@ -69,7 +69,7 @@ def split(panel: DataFrame, cutoff: str, spec: PanelSpec = DEFAULT) -> tuple[Dat
 def static_columns(panel: DataFrame, spec: PanelSpec = DEFAULT) -> DataFrame:
     """One row of static keys for each series; the least of several values, so that there is one."""
     have = [c for c in spec.static if c in panel.columns]
-    return panel.groupBy(spec.id).agg(*[F.min(c).alias(c) for c in have])
+    return panel.groupBy(spec.id).agg(*[F.min(c).alias(c) for c in have]) if have else panel.select(spec.id).distinct()
 
 
 def trim(panel: DataFrame, mode: str = "positive", spec: PanelSpec = DEFAULT) -> DataFrame:
