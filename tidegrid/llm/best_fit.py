@@ -10,6 +10,7 @@ few rounds or until no gap is left.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -23,7 +24,7 @@ from tidegrid.llm import textvec as tv
 VOCABULARY = "word_bpe_49k.json"
 SIZE = 2048
 END_ID = 0
-CACHE_WORDS = 300_000
+CACHE_WORDS = 1_000_000
 PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
 PACKED = "doc_id long, row long, piece int, start long, length long, ids_crc32 long, part long, bin long, offset long, fill long, gap long"
 
@@ -34,8 +35,41 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+#: ASCII letters, digits, other visible signs, and Latin-1 letters (two bytes: 0xC3 and one but those of the signs for times and division).
+_KIND = np.zeros(256, np.uint8)
+_KIND[0x21:0x7F] = 3
+_KIND[0x41:0x5B] = _KIND[0x61:0x7B] = 1
+_KIND[0x30:0x3A] = 2
+_SECOND = np.zeros(256, bool)
+_SECOND[0x80:0xC0] = True
+_SECOND[[0x97, 0xB7]] = False
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbe])+")
+
+
+def cuts(b: np.ndarray) -> np.ndarray:
+    """Positions where the pre-tokenizer surely ends a token although no white space stands there.
+
+    They are those between a letter and a sign, between a sign that is no apostrophe and a letter (an
+    apostrophe may begin a contraction), and on both sides of a digit, among ASCII and Latin-1 letters.
+    """
+    if len(b) < 2:
+        return np.zeros(0, np.int64)
+    left, right = _KIND[b[:-1]].copy(), _KIND[b[1:]].copy()
+    second = np.flatnonzero((b[:-1] == 0xC3) & _SECOND[b[1:]]) + 1  # last bytes of Latin-1 letters
+    left[second[second < len(left)]] = 1
+    right[second[second >= 2] - 2] = 1  # as seen from before their first bytes
+    sign = (left == 1) & (right == 3) | (left == 3) & (right == 1) & (b[:-1] != 0x27)
+    digit = (left == 2) & (right > 0) | (right == 2) & (left > 0)
+    return np.flatnonzero(sign | digit) + 1
+
+
 class WordTokenizer:
-    """Token ids of whole texts. White space ends every token of this vocabulary's pre-tokenizer, so words are encoded once and remembered."""
+    """Token ids of whole texts. White space ends every token of this vocabulary's pre-tokenizer, so words are encoded once and remembered.
+
+    Letter case and the signs around words multiply the words to remember, so ASCII is lowered first
+    and words are cut where the pre-tokenizer cuts them anyway. Texts that hold "<|" are encoded as
+    they are, as special tokens are told apart by case.
+    """
 
     _kept: dict[str, "WordTokenizer"] = {}
 
@@ -43,6 +77,9 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        words = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(words.values()) + 1, bool)
+        self.ends_word[[i for w, i in words.items() if w.endswith("</w>")]] = True
         self.clear()
 
     @classmethod
@@ -58,16 +95,35 @@ class WordTokenizer:
         self.at = np.array([0, 1], np.int64)
 
     def learn(self, new: list[bytes]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)]
+        plain = [w for w in new if _LETTERS.fullmatch(w)]
+        other = [w for w in new if not _LETTERS.fullmatch(w)]
+        flat, sizes = [self.flat], []
+        for k in range(0, len(plain), 20_000):  # words of letters are one pre-token each, whose last id ends a word
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(plain[k : k + 20_000]).decode()], add_special_tokens=False)[0].ids, np.uint32)
+            flat.append(ids)
+            sizes.append(np.diff(np.flatnonzero(self.ends_word[ids]), prepend=-1))
+        if other:
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in other], add_special_tokens=False)]
+            flat.append(np.array([x for i in ids for x in i], np.uint32))
+            sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
         base = len(self.at) - 1
-        self.number.update(zip(new, range(base, base + len(new))))
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.flat = np.concatenate([self.flat, np.fromiter((x for i in ids for x in i), np.uint32, int(sizes.sum()))])
+        self.number.update(zip([*plain, *other], range(base, base + len(new))))
+        sizes = np.concatenate(sizes)
+        assert len(sizes) == len(new)
+        self.flat = np.concatenate(flat)
         self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
 
     def encode(self, b: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a block of texts, each text with its end id, and where each text starts (and the last ends)."""
-        split = [b[x:y].tobytes().split() for x, y in zip(offs, offs[1:])]
+        special = b"<|" in b.tobytes()
+        cut = cuts(b)
+        low = np.insert(tv.LOWER[b], cut, 0x20)
+        ends = offs + np.searchsorted(cut, offs, "left")
+        split = [low[x:y].tobytes().split() for x, y in zip(ends, ends[1:])]
+        if special:
+            raw = {i: t for i, t in enumerate(b[x:y].tobytes() for x, y in zip(offs, offs[1:])) if b"<|" in t}
+            for i in raw:
+                split[i] = []
         if len(self.number) > CACHE_WORDS:
             self.clear()
         new = set().union(*split) - self.number.keys()
@@ -82,7 +138,13 @@ class WordTokenizer:
         sizes = self.at[which + 1] - self.at[which]
         ends = np.cumsum(sizes)
         ids = self.flat[np.repeat(self.at[which] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
-        return ids, np.concatenate([[0], ends[which == 0]])
+        at = np.concatenate([[0], ends[which == 0]])
+        if special:
+            runs = [ids[x:y] for x, y in zip(at, at[1:])]
+            for i, t in raw.items():
+                runs[i] = np.array([*self.tokenizer.encode(t.decode(), add_special_tokens=False).ids, END_ID], np.uint32)
+            ids, at = np.concatenate(runs), np.concatenate([[0], np.cumsum([len(r) for r in runs])])
+        return ids, at
 
 
 def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, path: str | None = None, ids: bool = False) -> DataFrame:
