@@ -22,9 +22,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any benchmark window. A document with a hit goes as a whole; rows are told apart by doc_id."""
-    found = positional_index.matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.where(F.size("spans") > 0).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """Documents without any benchmark window. A document with a hit goes as a whole."""
+    return positional_index.without_matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -99,6 +99,9 @@ def test_positional_index(spark, docs):
     for block_bytes in (8 << 20, 300):
         got = positional_index.matches(docs, bench, block_bytes=block_bytes).collect()
         assert {r["doc_id"]: (r["n_words"], sum(s["end"] - s["start"] for s in r["spans"]), r["items"]) for r in got} == want
+        left = positional_index.without_matches(docs, bench, block_bytes=block_bytes)
+        assert left.columns == docs.columns
+        assert {r["doc_id"] for r in left.collect()} == {i for i, v in want.items() if not v[1]}
     assert positional_index.matches(docs, bench.limit(0)).where(F.size("spans") > 0).count() == 0
     assert positional_index.matches(docs.limit(0), bench).count() == 0
 

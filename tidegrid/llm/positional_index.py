@@ -193,6 +193,28 @@ def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
     return out
 
 
+def without_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs, with all their columns, in which no window of an item occurs; see matches(). A filter of each row alone: nothing is joined by id or shuffled."""
+    schema = docs.schema
+    place = [f.name for f in schema.fields].index(text)
+    context = docs.sparkSession.sparkContext
+    for _last, ids, texts in item_blocks(benchmark, item_id, item_text, block_bytes):
+        shared = context.broadcast(Queries(ids, texts, size))
+
+        def work(batch: pa.RecordBatch, shared=shared) -> pa.Table:
+            hit = np.zeros(batch.num_rows, bool)
+            for lo, _hi, b, offs in tv.blocks(batch.column(place)):
+                w, first = tokens(b, offs)
+                if len(w):
+                    index = Postings(w, first)
+                    for _k, windows, terms, cells, _who, _edges in shared.value.sets:
+                        hit[lo + index.row[index.phrase(windows, terms, cells)[0]]] = True
+            return pa.Table.from_batches([batch]).filter(pa.array(~hit))
+
+        docs = sh.map_batches(docs, work, schema)
+    return docs
+
+
 def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The index as a table: shard, term (64-bit hash), doc_id and the positions of the term there, sorted. For storing; matches() builds each shard as it goes."""
 
