@@ -24,7 +24,8 @@ from tidegrid.llm import textvec as tv
 VOCABULARY = "word_bpe_49k.json"
 SIZE = 2048
 END_ID = 0
-CACHE_WORDS = 1_000_000
+#: About 45 MB of a Python worker, which keeps it between tasks.
+CACHE_WORDS = 300_000
 PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
 PACKED = "doc_id long, row long, piece int, start long, length long, ids_crc32 long, part long, bin long, offset long, fill long, gap long"
 
@@ -181,6 +182,7 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: in
                 if ids:
                     columns["ids"] = pa.array([flat[x : x + m].astype(np.int64) for x, m in zip(begin, length)], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_pydict(columns)
+        sh.give_back()
 
     return sh.id_text(docs, doc_id, text).withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, schema)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -143,6 +144,15 @@ def groups_of(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, np.diff(np.append(at, len(sorted_keys)))
 
 
+def give_back() -> None:
+    """Returns freed memory to the system. Python workers are kept between tasks, so what one stage freed would else stay theirs beside the next stage's needs."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def map_batches(docs: DataFrame, work: Callable[[pa.RecordBatch], pa.Table], schema: str) -> DataFrame:
     """mapInArrow of one function from a batch to a table."""
 
@@ -151,6 +161,8 @@ def map_batches(docs: DataFrame, work: Callable[[pa.RecordBatch], pa.Table], sch
             out = work(batch)
             if out is not None and out.num_rows:
                 yield from out.to_batches()
+        del batches
+        give_back()
 
     return docs.mapInArrow(run, schema)
 
