@@ -74,6 +74,39 @@ def test_toxicity_ignores_held_out_labels(spark, data):
     assert a == b
 
 
+def test_toxicity_counts_every_annotation(spark, data):
+    docs, labels, toxic, _ = data
+    from pyspark.sql import functions as F
+
+    texts = docs.select("doc_id", "text").where("text is not null")
+    seen = weak_toxicity.counted(texts, labels)
+    train = {r["doc_id"] for r in docs.select("doc_id", weak_toxicity.fold("doc_id").alias("f")).collect() if r["f"] != 0}
+    got = {r["doc_id"]: r["said"] for r in seen.collect() if r["doc_id"] in toxic}
+    assert got == {i: 1 + toxic[i] if i % 2 and i in train else 0 for i in toxic}
+    # the sample is annotated as a whole as soon as there are enough annotated rows
+    picked = weak_toxicity.wanted(seen, sum(x > 0 for x in got.values()), sum(x == 0 for x in got.values()), 100).collect()
+    assert len(picked) > 50 and all(r["said"] > 0 for r in picked)
+    # twenty times the rows with a twentieth of a sample each: the model says the same
+    more = texts.crossJoin(spark.range(20)).select((F.col("doc_id") + 100_000 * F.col("id")).alias("doc_id"), "text")
+    more_labels = labels.crossJoin(spark.range(20)).select((F.col("doc_id") + 100_000 * F.col("id")).alias("doc_id"), "toxic")
+    scores = {r["doc_id"]: r["score"] for r in weak_toxicity.toxicity(more, more_labels, sample_rows=400).collect()}
+    assert np.mean([(s >= 0.5) == toxic[i % 100_000] for i, s in scores.items() if i is not None and i % 100_000 in toxic]) > 0.97
+
+
+def harmless_words(n):
+    """Texts where 'worth' words fire, which are never toxic, and 'mind' words, which are always: only annotations tell."""
+    texts = ["please take the garbage to the parasite ward of the old town hall", "listen to me now idiot of the old town hall", "a plain line of the old town hall"]
+    return [(i, texts[0 if i % 10 < 3 else 1 if i % 10 < 5 else 2]) for i in range(n)], [(i, int(i % 10 in (3, 4))) for i in range(n) if i // 10 % 5 < 2]
+
+
+@pytest.mark.parametrize("n", [1000, 20_000])
+def test_toxicity_anchor_does_not_fade(spark, n):
+    rows, labels = harmless_words(n)
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = {r["doc_id"]: r["predicted"] for r in weak_toxicity.toxicity(docs, marks, sample_rows=400).collect()}
+    assert np.mean([got[i] == (i % 10 in (3, 4)) for i in got]) > 0.99
+
+
 def test_toxicity_without_rows_or_labels(spark, data):
     docs, labels, toxic, _ = data
     assert weak_toxicity.toxicity(docs.limit(0), labels).count() == 0

@@ -1,9 +1,9 @@
 """Toxicity by weak supervision.
 
 Many lexicon and pattern voters look at each text. A generative label model estimates their accuracies
-and correlations from counts of vote patterns over all texts; annotations of training rows, where
-there are any, are one more voter, noisy like the others. Posterior labels of a bounded sample of
-training rows then train a sparse linear classifier over hashed word presence and the voters. The
+and correlations from counts of vote patterns over all texts; the annotations of all training rows
+that have one are one more voter, noisy like the others. Posterior labels of a bounded sample of
+training rows, annotated ones first, then train a sparse linear classifier over hashed word presence and the voters. The
 score of a text comes from that classifier alone, so annotations, language and source are no inputs.
 """
 
@@ -121,37 +121,58 @@ def fold(doc_id) -> F.Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(5)), F.lit(1)).cast("int")
 
 
+def counted(texts: DataFrame, labels: DataFrame | None, label: str = "toxic", held_out: int = 0) -> DataFrame:
+    """doc_id, bits (vote pattern), train and said (annotation: 0 none, 1 not toxic, 2 toxic) of every text; annotations of the held-out fold are not read."""
+    voters = Voters()
+
+    def work(batch: pa.RecordBatch) -> pa.Table:
+        votes = [voters.votes(*_tokens(b, offs)) for _lo, _hi, b, offs in tv.blocks(batch["text"])]
+        return pa.table({"doc_id": batch["doc_id"], "bits": pa.array(np.concatenate(votes or [np.zeros(0, np.int64)]))})
+
+    votes = sh.map_batches(texts, work, "doc_id long, bits long").withColumn("train", fold("doc_id") != held_out)
+    if labels is None:
+        return votes.withColumn("said", F.lit(0))
+    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("mark")).where("mark in (0, 1)").groupBy("doc_id").agg(F.max("mark").alias("mark"))
+    return votes.join(marks, "doc_id", "left").select("doc_id", "bits", "train", F.when(F.col("train"), F.coalesce(F.col("mark") + 1, F.lit(0))).otherwise(0).alias("said"))
+
+
+def label_model(bits: np.ndarray, said: np.ndarray, counts: np.ndarray) -> LabelModel:
+    """The generative model of how often each vote pattern occurs with each annotation."""
+    votes = np.concatenate([_unpacked(bits), said[:, None]], 1).astype(np.int64)
+    # kind 0 is not toxic; each voter begins as a kind of toxic text of its own, shared by the texts where several fire
+    fired = votes[:, : len(VOTERS)].sum(axis=1)
+    start = np.concatenate([np.where(fired > 0, 0.05, 1.0)[:, None], votes[:, : len(VOTERS)] / np.maximum(fired, 1)[:, None]], 1)
+    kinds = np.array([0] + [1] * len(VOTERS))
+    return LabelModel([2] * len(VOTERS) + [3], fixed={len(VOTERS): ANNOTATION[kinds]}).fit(votes, counts, start)
+
+
+def wanted(seen: DataFrame, labelled: int, others: int, sample_rows: int) -> DataFrame:
+    """doc_id and said of the classifier's rows: those of training rows with the smallest hashes, annotated ones first, others only where room is left."""
+    room = 0.9 * sample_rows
+    shares = [min(1.0, max(0.0, room - labelled) / max(1, others)), min(1.0, room / max(1, labelled))]
+    limit = [int(x * (1 << 20)) + (x == 1.0) for x in shares]
+    return seen.where(F.col("train") & (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < F.when(F.col("said") > 0, limit[1]).otherwise(limit[0]))).select("doc_id", "said").distinct()
+
+
 def fit(docs: DataFrame, labels: DataFrame | None, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", held_out: int = 0, sample_rows: int = SAMPLE_ROWS) -> Scorer:
-    """The scorer. Pattern counts come from all texts; annotations and the classifier's rows only from rows outside the held-out fold.
+    """The scorer. Pattern counts come from all texts, with the annotations of all rows outside the held-out fold; the classifier's rows are a sample of these.
 
-    The classifier sees about 0.9 * sample_rows rows at most, those with the smallest hashes of doc_id. Rows of
-    labels that are null, neither 0 nor 1, or repeated for a doc_id (then the largest counts) are allowed.
+    The classifier sees about 0.9 * sample_rows rows at most, those with the smallest hashes of doc_id, annotated ones
+    first. Rows of labels that are null, neither 0 nor 1, or repeated for a doc_id (then the largest counts) are allowed.
     """
     texts = sh.id_text(docs, doc_id, text).where(F.col("text").isNotNull())
     voters = Voters()
-
-    def patterns(batches):
-        seen: dict[int, int] = {}
-        for batch in batches:
-            for _lo, _hi, b, offs in tv.blocks(batch["text"]):
-                bits, n = np.unique(voters.votes(*_tokens(b, offs)), return_counts=True)
-                for x, m in zip(bits.tolist(), n.tolist()):
-                    seen[x] = seen.get(x, 0) + m
-        yield pa.RecordBatch.from_pydict({"bits": pa.array(list(seen), pa.int64()), "n": pa.array(list(seen.values()), pa.int64())})
-
-    table = texts.mapInArrow(patterns, "bits long, n long").groupBy("bits").agg(F.sum("n").alias("n")).collect()
-    bits, counts = np.array([r["bits"] for r in table], np.int64), np.array([r["n"] for r in table], np.float64)
+    seen = sh.stored(counted(texts, labels, label, held_out))
+    table = seen.groupBy("bits", "train", "said").agg(F.count("*").alias("n")).toArrow().sort_by([("bits", "ascending"), ("said", "ascending"), ("train", "ascending")])
+    bits, said, counts = (table[x].to_numpy() for x in ("bits", "said", "n"))
     if not len(bits):
         return Scorer(np.zeros(DIMS), np.ones(len(VOTERS)), -2.0)
+    model = label_model(bits, said, counts.astype(np.float64))
 
-    train = texts.where(fold("doc_id") != held_out)
-    share = min(1.0, 0.9 * sample_rows / max(1.0, float(counts.sum())))
-    picked = train.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1.0))
-    if labels is None:
-        picked = picked.withColumn("mark", F.lit(2))
-    else:
-        marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("mark")).where("mark in (0, 1)").groupBy("doc_id").agg(F.max("mark").alias("mark"))
-        picked = picked.join(marks, "doc_id", "left").fillna(2, ["mark"])
+    trained = table["train"].to_numpy()
+    picked = wanted(seen, int(counts[trained & (said > 0)].sum()), int(counts[trained & (said == 0)].sum()), sample_rows)
+    ids = picked.withColumnRenamed("doc_id", "picked")  # a bounded number of ids: no text is shuffled
+    chosen = texts.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("picked"))).select("doc_id", "text", "said")
 
     def features(batch: pa.RecordBatch) -> pa.Table:
         votes, columns = [], []
@@ -159,25 +180,13 @@ def fit(docs: DataFrame, labels: DataFrame | None, doc_id: str = "doc_id", text:
             w, first = _tokens(b, offs)
             votes.append(voters.votes(w, first))
             columns += [np.unique((w[x:y] >> U64(46)).astype(np.uint32)).tobytes() for x, y in zip(first, first[1:])]
-        return pa.table({"doc_id": batch["doc_id"], "mark": batch["mark"], "bits": pa.array(np.concatenate(votes or [np.zeros(0, np.int64)])), "columns": pa.array(columns, pa.binary())})
+        return pa.table({"doc_id": batch["doc_id"], "said": batch["said"], "bits": pa.array(np.concatenate(votes or [np.zeros(0, np.int64)])), "columns": pa.array(columns, pa.binary())})
 
-    sample = sh.map_batches(picked, features, "doc_id long, mark int, bits long, columns binary").toArrow().sort_by([("doc_id", "ascending"), ("bits", "ascending")])
-    mark, own = sample["mark"].to_numpy(), sample["bits"].to_numpy()
-
-    # all texts' patterns, without annotation but for the sampled rows; annotation votes are 0 none, 1 not toxic, 2 toxic
-    said = np.where(mark == 2, 0, mark + 1)
-    both, n = np.unique(np.stack([np.concatenate([bits, own, own]), np.concatenate([np.zeros(len(bits) + len(own), int), said])], 1), axis=0, return_inverse=True)
-    weight = np.bincount(n.reshape(-1), weights=np.concatenate([counts, np.full(len(own), -1.0), np.ones(len(own))]), minlength=len(both))
-    weight = np.maximum(weight, 0)
-    votes = np.concatenate([_unpacked(both[:, 0]), both[:, 1:]], 1).astype(np.int64)
-    # kind 0 is not toxic; each voter begins as a kind of toxic text of its own, shared by the texts where several fire
-    fired = votes[:, : len(VOTERS)].sum(axis=1)
-    start = np.concatenate([np.where(fired > 0, 0.05, 1.0)[:, None], votes[:, : len(VOTERS)] / np.maximum(fired, 1)[:, None]], 1)
-    kinds = np.array([0] + [1] * len(VOTERS))
-    model = LabelModel([2] * len(VOTERS) + [3], fixed={len(VOTERS): ANNOTATION[kinds]}).fit(votes, weight, start)
+    sample = sh.map_batches(chosen, features, "doc_id long, said int, bits long, columns binary").toArrow().sort_by([("doc_id", "ascending"), ("bits", "ascending")])
+    told_so, own = sample["said"].to_numpy(), sample["bits"].to_numpy()
 
     columns = [np.frombuffer(x, np.uint32).astype(np.int64) for x in sample["columns"].to_pylist()]
-    target = 1 - model.posterior(np.concatenate([_unpacked(own), said[:, None]], 1).astype(np.int64))[:, 0]
+    target = 1 - model.posterior(np.concatenate([_unpacked(own), told_so[:, None]], 1).astype(np.int64))[:, 0]
     flat = np.concatenate(columns or [np.zeros(0, np.int64)])
     often = np.bincount(flat, minlength=DIMS)
     # only words that occur with toxic texts far more or less than by chance are worth a weight
