@@ -225,6 +225,17 @@ def test_class_model_beats_single_words(spark):
     assert got["s"] > got["b"] * 0.85  # the order of the kinds is learnt
 
 
+def test_rare_words_get_classes_from_rare_neighbours(spark):
+    # a pair of words seen nowhere else follows two frequent words: the second of them has rare neighbours alone
+    rows = [(i, f"aa bb r{i} s{i} t{i}") for i in range(400)]
+    docs = X.frame(spark, rows)
+    parts, n = class_ngrams.sh.parted(docs)
+    model = class_ngrams.ClassModel(class_ngrams.sh.id_text(docs), n, 1, 4, 0.2)
+    coded = [r["classes"] for r in class_ngrams.coded(parts, model).collect() if not r["held_out"]]
+    assert len(model.words) < 10 and len(model.moved) > 1
+    assert all(x & 127 != 4 for c in coded for x in c)
+
+
 def test_transitions_are_probabilities(spark):
     rows = [(False, bytes([0, 1, 0 | class_ngrams.ONCE, 3])), (False, bytes([1, 0, 3])), (True, bytes([4, 3]))]
     texts = spark.createDataFrame(rows, "held_out boolean, classes binary")

@@ -3,12 +3,14 @@
 P(text) is the product over its tokens of P(class | previous class) * P(word | class). All counts come
 from every training text:
 
-1. Word counts, by hash bucket. Words of at least N / HEAD tokens are the head, so there are HEAD of
-   them at most, whatever the corpus.
-2. Bigram counts among the head, at most HEAD**2. Exchange clustering moves head words between
-   classes while the class bigram likelihood grows.
-3. One distributed exchange step for every other word: its neighbours' head classes, summed over the
-   corpus, choose the class under which they are likeliest.
+1. Word counts, by hash bucket. The HEAD * types^(1/3) most frequent words are the head: it grows with
+   the vocabulary, and its bigram matrix stays below the vocabulary's size.
+2. Bigram counts among the head. Exchange clustering moves head words between classes until no move
+   raises the class bigram likelihood; these classes are the start of step 3.
+3. Distributed exchange steps for all words, head and others: the classes of all neighbours (ends
+   too), summed over the corpus, choose the class under which they are likeliest. After the first, each
+   step moves a random half of the words, or rare neighbours would swap classes for ever. Steps go on
+   while words move: until fewer than FEW of them do, or a step moves no fewer than the one before.
 4. Class transitions over all training tokens. Words never seen are one type in a class of its own,
    whose probabilities are those of words seen once.
 
@@ -18,6 +20,8 @@ neither broadcast nor collected.
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,13 +32,14 @@ from tidegrid.llm import textvec as tv
 
 U64 = np.uint64
 CLASSES = 48
-HEAD = 2048
+HEAD = 12
+FEW = 0.01
 SIDE = 64  # codes of right neighbours begin here
 ONCE = 128  # set in a token's class byte if its word was seen once
 END = U64(0x0DEAD0E0D0C0FFEE)
 COUNTS = "bucket int, keys binary, counts binary"
 SENT = "part int, bucket int, n int, keys binary, more binary"
-REPLIED = "part int, bucket int, classes binary, counts binary"
+REPLIED = "part int, bucket int, classes binary, counts binary, steps binary, moved long"
 CODED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, log_counts double, classes binary"
 
 
@@ -83,11 +88,11 @@ def count_words(texts: DataFrame, bits: int, held_out: int) -> DataFrame:
     return sh.stored(texts.mapInArrow(count, COUNTS).groupBy("bucket").applyInArrow(total, COUNTS))
 
 
-def exchange(n: np.ndarray, k: int, fixed: int, rounds: int = 12) -> np.ndarray:
+def exchange(n: np.ndarray, k: int, fixed: int) -> np.ndarray:
     """A class below k for each head word: n is their bigram count matrix, its last `fixed` lines and columns have classes of their own after k.
 
     Words start dealt by frequency; each then moves to the class that raises the sum of x log x over class
-    bigrams most, less that over class totals, until nobody moves.
+    bigrams most, less that over class totals, until nobody moves. A move must raise the sum, so this ends.
     """
     m = len(n) - fixed
     own = np.concatenate([np.arange(m) % k, k + np.arange(fixed)])
@@ -97,7 +102,7 @@ def exchange(n: np.ndarray, k: int, fixed: int, rounds: int = 12) -> np.ndarray:
     hot[np.arange(len(n)), own] = 1
     n = n.astype(np.float64)
     c = hot.T @ n @ hot
-    for _ in range(rounds):
+    while True:
         moved = 0
         for w in range(m):
             a = own[w]
@@ -116,6 +121,8 @@ def exchange(n: np.ndarray, k: int, fixed: int, rounds: int = 12) -> np.ndarray:
             gain += f(d + right[:k] + left[:k] + self_) - f(d + right[:k]) - f(d + left[:k]) + f(d)
             gain -= f(rows[:k] + right.sum() + self_) - f(rows[:k]) + f(columns[:k] + left.sum() + self_) - f(columns[:k])
             new = int(np.argmax(gain))
+            if gain[new] <= gain[a] + 1e-6 * (1 + abs(gain[a])):
+                new = int(a)
             c[new] += right
             c[:, new] += left
             c[new, new] += self_
@@ -128,29 +135,32 @@ def exchange(n: np.ndarray, k: int, fixed: int, rounds: int = 12) -> np.ndarray:
 
 
 class ClassModel:
-    """Classes: 0 .. k-1 of words, k of words without evidence, k + 1 of the end, k + 2 of unseen words, k + 3 the start."""
+    """Classes: 0 .. k-1 of words, k of words without a trained neighbour, k + 1 of the end, k + 2 of unseen words, k + 3 the start."""
 
-    def __init__(self, texts: DataFrame, n_parts: int, held_out: int, classes: int, head: int):
+    def __init__(self, texts: DataFrame, n_parts: int, held_out: int, classes: int, head: float):
         self.bits, self.held_out, self.k = sh.bucket_bits(n_parts), held_out, classes
         self.counts = count_words(texts, self.bits, held_out)
         read = lambda name: lambda batch: pa.table({name: pa.array([int(np.frombuffer(x, np.int64).sum()) for x in batch["counts"].to_pylist()], pa.int64()), "types": pa.array([len(x) // 8 for x in batch["counts"].to_pylist()], pa.int64())})
         sums = sh.map_batches(self.counts, read("tokens"), "tokens long, types long").agg(F.sum("tokens").alias("n"), F.sum("types").alias("v")).first()
         self.total, self.types = int(sums["n"] or 0), int(sums["v"] or 0)
-        least = max(2, -(-self.total // head))
+        size = int(np.ceil(head * self.types ** (1 / 3)))
 
-        def frequent(batch: pa.RecordBatch) -> pa.Table:
+        def frequent(batches):
             keys, counts = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
-            for x, y in zip(batch["keys"].to_pylist(), batch["counts"].to_pylist()):
-                n = np.frombuffer(y, np.int64)
-                keys.append(np.frombuffer(x, U64)[n >= least])
-                counts.append(n[n >= least])
-            return pa.table({"word": pa.array(np.concatenate(keys).view(np.int64)), "n": pa.array(np.concatenate(counts))})
-
-        got = sh.map_batches(self.counts, frequent, "word long, n long").toArrow()
+            for batch in batches:
+                for x, y in zip(batch["keys"].to_pylist(), batch["counts"].to_pylist()):
+                    keys.append(np.frombuffer(x, U64))
+                    counts.append(np.frombuffer(y, np.int64))
+                k, n = np.concatenate(keys), np.concatenate(counts)
+                top = np.lexsort((k, -n))[: size + 1]
+                keys, counts = [k[top]], [n[top]]
+            yield pa.RecordBatch.from_pydict({"word": pa.array(np.concatenate(keys).view(np.int64)), "n": pa.array(np.concatenate(counts))})
+
+        got = self.counts.mapInArrow(frequent, "word long, n long").orderBy(F.desc("n"), "word").limit(size + 1).toArrow()
         words, often = got["word"].to_numpy().view(U64), got["n"].to_numpy()
         order = np.lexsort((words, -often))
         words = words[order]
-        words = words[words != END]
+        words = words[words != END][:size]
         self.words = np.sort(words)
         rank = np.argsort(np.argsort(words))  # position in self.words of the word of each frequency rank
         n = self._bigrams(texts)
@@ -158,13 +168,18 @@ class ClassModel:
         by_rank = exchange(n[np.ix_(places, places)], classes, 2)
         self.word_class = np.empty(len(words), np.int64)
         self.word_class[rank] = by_rank
-        # how likely each neighbour's class is on the left and on the right of each class
-        hot = np.zeros((len(words), classes))
-        hot[np.arange(len(words)), self.word_class] = 1
-        c = hot.T @ n[: len(words), : len(words)] @ hot + 0.5
-        self.log_likely = np.zeros((2 * SIDE, classes))
-        self.log_likely[:classes] = np.log(c / c.sum(axis=0))
-        self.log_likely[SIDE : SIDE + classes] = np.log(c / c.sum(axis=1, keepdims=True)).T
+        slots = np.concatenate([self.word_class, [classes, classes + 1]])
+        steps = np.zeros((SIDE, SIDE))
+        np.add.at(steps, (slots[:, None], slots[None, :]), n)
+        self.learn(steps)
+
+    def learn(self, steps: np.ndarray) -> None:
+        """How likely each neighbour's class is on the left and on the right of each class, from counts of class bigrams."""
+        k, places = self.k, [*range(self.k), self.k + 1]
+        c = steps + 0.5
+        self.log_likely = np.zeros((2 * SIDE, k))
+        self.log_likely[places] = np.log(c[places, :k] / c[places, :k].sum(axis=0))
+        self.log_likely[[SIDE + x for x in places]] = np.log(c[:k, places] / c[:k, places].sum(axis=1, keepdims=True)).T
 
     def _bigrams(self, texts: DataFrame) -> np.ndarray:
         words, held_out, m = self.words, self.held_out, len(self.words)
@@ -191,35 +206,34 @@ class ClassModel:
 def coded(parts: DataFrame, model: ClassModel) -> DataFrame:
     """Each text as the classes of its tokens, with its base score, through the exchange."""
     bits, k, held_out, total, types = model.bits, model.k, model.held_out, model.total, model.types
-    head, head_class, log_likely, counts = model.words, model.word_class, model.log_likely, model.counts
-    known_class = np.concatenate([head_class, [255, 255]])
+    head, head_class, counts = model.words, model.word_class, model.counts
+    known_class = np.concatenate([head_class, [k, k + 1]])  # k: none yet
     index = lambda w: _head_index(head, w)
 
     def distinct(ids, text):
         return np.unique(np.concatenate([tokens(b, offs)[0] for _lo, _hi, b, offs in tv.blocks(text)] or [np.zeros(0, U64)]))
 
-    def send(key, table):
+    def send(key, table, replies=None):
         ids, text = sh.in_order(table)
         train, keys = train_fold(ids, held_out), distinct(ids, text)
-        codes = [np.zeros(0, np.int64)]
+        own = known_class[index(keys)].astype(np.uint8) if replies is None else np.frombuffer(b"".join(replies.sort_by("bucket")["classes"].to_pylist()), np.uint8)
+        codes, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for lo, hi, b, offs in tv.blocks(text):
             w, first = tokens(b, offs)
-            row, c = tv.row_of(first, len(w)), known_class[index(w)]
-            tail = np.flatnonzero((c == 255) & (w != END) & train[lo:hi][row])
-            place = np.searchsorted(keys, w[tail])
-            left = c[np.maximum(tail - 1, 0)]
-            ok = (left != 255) & (tail > first[row[tail]])
-            codes.append(place[ok] * 2 * SIDE + left[ok])
-            right = c[np.minimum(tail + 1, len(c) - 1)]
-            ok = right != 255  # an end follows every text's last word
-            codes.append(place[ok] * 2 * SIDE + SIDE + right[ok])
-        code, n = np.unique(np.concatenate(codes), return_counts=True)
-        sizes = np.bincount(code // (2 * SIDE), minlength=len(keys))
+            ok = train[lo:hi][tv.row_of(first, len(w))]
+            place = np.searchsorted(keys, w)
+            c = own[place].astype(np.int64)
+            left = np.concatenate([[k + 1], c[:-1]])  # before a text's first token stands an end
+            right = np.append(c[1:], k + 1)
+            x, y = ok & (left != k), ok & (right != k) & (w != END)
+            got = np.unique(np.concatenate([place[x] * 2 * SIDE + left[x], place[y] * 2 * SIDE + SIDE + right[y]]), return_counts=True)
+            codes, n = _summed(np.concatenate([codes, got[0]]), np.concatenate([n, got[1]]))
+        sizes = np.bincount(codes // (2 * SIDE), minlength=len(keys))
         bucket = (keys >> U64(64 - bits)).astype(np.int64)
         which = np.unique(bucket)
         lo, hi = np.searchsorted(bucket, which, "left"), np.searchsorted(bucket, which, "right")
         at = np.concatenate([[0], np.cumsum(sizes)])
-        blob = lambda a, b: sizes[a:b].astype("<u2").tobytes() + (code[at[a] : at[b]] % (2 * SIDE)).astype(np.uint8).tobytes() + np.minimum(n[at[a] : at[b]], 65535).astype("<u2").tobytes()
+        blob = lambda a, b: own[a:b].tobytes() + sizes[a:b].astype("<u2").tobytes() + (codes[at[a] : at[b]] % (2 * SIDE)).astype(np.uint8).tobytes() + np.minimum(n[at[a] : at[b]], 65535).astype("<u2").tobytes()
         return pa.table(
             {
                 "part": pa.array(np.full(len(which), key[0].as_py(), np.int32)),
@@ -230,28 +244,34 @@ def coded(parts: DataFrame, model: ClassModel) -> DataFrame:
             }
         )
 
-    def choose(key, asked, table):
+    def choose(key, asked, table, log_likely, turn):
         """The exchange step: every word of the bucket gets the class under which its neighbours are likeliest."""
         keys = np.frombuffer(b"".join(table["keys"].to_pylist()), U64)
         often = np.frombuffer(b"".join(table["counts"].to_pylist()), np.int64)
-        seen = np.zeros((len(keys), 2 * SIDE), np.float32)
+        seen, old = np.zeros((len(keys), 2 * SIDE)), np.full(len(keys), k)
         asked = asked.sort_by("part")
         words, raws = asked["keys"].to_pylist(), asked["more"].to_pylist()
         for word, raw in zip(words, raws):
             w = np.frombuffer(word, U64)
             if not len(keys):
                 break
-            sizes = np.frombuffer(raw, "<u2", len(w)).astype(np.int64)
+            at = np.minimum(np.searchsorted(keys, w), len(keys) - 1)
+            ok = keys[at] == w
+            old[at[ok]] = np.frombuffer(raw, np.uint8, len(w))[ok]
+            sizes = np.frombuffer(raw, "<u2", len(w), len(w)).astype(np.int64)
             m = int(sizes.sum())
             if m:
-                place = np.repeat(np.searchsorted(keys, w), sizes)  # words with neighbours were trained on, so they are there
-                code = np.frombuffer(raw, np.uint8, m, 2 * len(w))
-                np.add.at(seen.reshape(-1), place * 2 * SIDE + code, np.frombuffer(raw, "<u2", m, 2 * len(w) + m).astype(np.float32))
-        best = np.argmax(seen @ log_likely.astype(np.float32), axis=1) if len(keys) else np.zeros(0, np.int64)
-        best = np.where(seen.any(axis=1), best, k) if len(keys) else best
-        in_head = known_class[index(keys)]
-        best = np.where(in_head != 255, in_head, best)
+                code = np.frombuffer(raw, np.uint8, m, 3 * len(w))  # words with neighbours were trained on, so they are among the keys
+                np.add.at(seen.reshape(-1), np.repeat(at, sizes) * 2 * SIDE + code, np.frombuffer(raw, "<u2", m, 3 * len(w) + m).astype(np.float64))
+        likely = seen @ log_likely
+        best = np.argmax(likely, axis=1) if len(keys) else np.zeros(0, np.int64)
+        stays = (old < k) & (likely[np.arange(len(keys)), np.minimum(old, k - 1)] >= likely.max(axis=1, initial=-np.inf))
+        waits = (old < k) & ((keys >> U64(turn % 32)) & U64(1) == 1) if turn else np.zeros(len(keys), bool)
+        best = np.where(stays | waits, old, np.where(seen.any(axis=1), best, k))
         best = np.where(keys == END, k + 1, best)
+        moved = int(((best != old) & (keys != END)).sum())
+        steps = np.zeros((SIDE, SIDE))
+        np.add.at(steps.T, best, seen[:, :SIDE])
         classes, counts = [], []
         for word in words:
             w = np.frombuffer(word, U64)
@@ -259,7 +279,7 @@ def coded(parts: DataFrame, model: ClassModel) -> DataFrame:
             ok = (keys[at] == w) if len(keys) else np.zeros(len(w), bool)
             classes.append(np.where(ok, best[at], k + 2).astype(np.uint8).tobytes() if len(keys) else np.full(len(w), k + 2, np.uint8).tobytes())
             counts.append((np.where(ok, often[at], 0) if len(keys) else np.zeros(len(w))).astype("<u4" if total < 1 << 32 else "<i8").tobytes())
-        return pa.table({"part": asked["part"].cast(pa.int32()), "bucket": asked["bucket"].cast(pa.int32()), "classes": pa.array(classes, pa.binary()), "counts": pa.array(counts, pa.binary())})
+        return pa.table({"part": asked["part"].cast(pa.int32()), "bucket": asked["bucket"].cast(pa.int32()), "classes": pa.array(classes, pa.binary()), "counts": pa.array(counts, pa.binary()), "steps": pa.array([steps.tobytes()] + [None] * (len(asked) - 1) if len(asked) else [], pa.binary()), "moved": pa.array([moved] + [0] * (len(asked) - 1) if len(asked) else [], pa.int64())})
 
     def code(key, table, replies):
         ids, text = sh.in_order(table)
@@ -283,9 +303,31 @@ def coded(parts: DataFrame, model: ClassModel) -> DataFrame:
         flat = lambda n, kind: pa.array(np.concatenate(out[n] or [np.zeros(0)]).astype(kind))
         return pa.table({"doc_id": sh.null_ids(ids), "held_out": pa.array(~train), "n_tokens": flat("n_tokens", np.int64), "n_known": flat("n_known", np.int64), "base_score": flat("base_score", np.float64), "log_counts": flat("log_counts", np.float64), "classes": pa.array(out["classes"], pa.binary())})
 
-    by_part = parts.groupBy("part")
-    replies = by_part.applyInArrow(send, SENT).groupBy("bucket").cogroup(counts.groupBy("bucket")).applyInArrow(choose, REPLIED)
-    return by_part.cogroup(replies.groupBy("part")).applyInArrow(code, CODED)
+    def chooser(log_likely, turn):
+        return lambda key, asked, table: choose(key, asked, table, log_likely, turn)
+
+    def summed(batches):
+        steps, moved = np.zeros((SIDE, SIDE)), 0
+        for batch in batches:
+            steps = sum((np.frombuffer(x, np.float64).reshape(SIDE, SIDE) for x in batch["steps"].to_pylist() if x), steps)
+            moved += sum(batch["moved"].to_pylist())
+        yield pa.RecordBatch.from_pydict({"steps": pa.array([steps.tobytes()], pa.binary()), "moved": pa.array([moved], pa.int64())})
+
+    by_part, replies, last = parts.groupBy("part"), None, None
+    model.moved = []
+    while True:
+        sent = by_part.applyInArrow(lambda key, table: send(key, table), SENT) if replies is None else by_part.cogroup(replies.select("part", "bucket", "classes").groupBy("part")).applyInArrow(lambda key, table, replies: send(key, table, replies), SENT)
+        replies = sh.stored(sent.groupBy("bucket").cogroup(counts.groupBy("bucket")).applyInArrow(chooser(model.log_likely, len(model.moved)), REPLIED))
+        got = replies.select("steps", "moved").mapInArrow(summed, "steps binary, moved long").toArrow().to_pylist()
+        moved = sum(r["moved"] for r in got)
+        model.moved.append(moved)
+        if moved <= FEW * types or (last is not None and len(model.moved) > 3 and moved >= last):
+            break
+        model.learn(sum((np.frombuffer(r["steps"], np.float64).reshape(SIDE, SIDE) for r in got), np.zeros((SIDE, SIDE))))
+        last = moved
+        gc.collect()
+        parts.sparkSession._jvm.System.gc()  # lets Spark drop the shuffle files of finished steps
+    return by_part.cogroup(replies.select("part", "bucket", "classes", "counts").groupBy("part")).applyInArrow(code, CODED)
 
 
 def _head_index(words: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -350,7 +392,7 @@ def transitions(texts: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.log10(np.maximum(p, 1e-300)), of_class
 
 
-def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out: int = 1, classes: int = CLASSES, head: int = HEAD, part_bytes: int = sh.PART_BYTES) -> DataFrame:
+def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out: int = 1, classes: int = CLASSES, head: float = HEAD, part_bytes: int = sh.PART_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity for each row of docs.
 
     Trained on the rows whose CRC-32 of doc_id as text, modulo 5, is not held_out (null ids are trained on). Tokens are
