@@ -236,6 +236,14 @@ def test_rare_words_get_classes_from_rare_neighbours(spark):
     assert all(x & 127 != 4 for c in coded for x in c)
 
 
+def test_neighbour_counts_of_a_long_text_are_exact(spark):
+    docs = X.frame(spark, [(0, "aa bb " * 70_000), (2, "aa bb")])
+    parts, n = class_ngrams.sh.parted(docs)
+    model = class_ngrams.ClassModel(class_ngrams.sh.id_text(docs), n, 9, 4, 12)
+    class_ngrams.coded(parts, model)
+    assert model.steps.sum() == model.total == 140_004
+
+
 def test_transitions_are_probabilities(spark):
     rows = [(False, bytes([0, 1, 0 | class_ngrams.ONCE, 3])), (False, bytes([1, 0, 3])), (True, bytes([4, 3]))]
     texts = spark.createDataFrame(rows, "held_out boolean, classes binary")

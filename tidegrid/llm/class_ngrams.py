@@ -233,7 +233,7 @@ def coded(parts: DataFrame, model: ClassModel) -> DataFrame:
         which = np.unique(bucket)
         lo, hi = np.searchsorted(bucket, which, "left"), np.searchsorted(bucket, which, "right")
         at = np.concatenate([[0], np.cumsum(sizes)])
-        blob = lambda a, b: own[a:b].tobytes() + sizes[a:b].astype("<u2").tobytes() + (codes[at[a] : at[b]] % (2 * SIDE)).astype(np.uint8).tobytes() + np.minimum(n[at[a] : at[b]], 65535).astype("<u2").tobytes()
+        blob = lambda a, b: own[a:b].tobytes() + sizes[a:b].astype("<u2").tobytes() + (codes[at[a] : at[b]] % (2 * SIDE)).astype(np.uint8).tobytes() + n[at[a] : at[b]].astype("<u4").tobytes()
         return pa.table(
             {
                 "part": pa.array(np.full(len(which), key[0].as_py(), np.int32)),
@@ -262,7 +262,7 @@ def coded(parts: DataFrame, model: ClassModel) -> DataFrame:
             m = int(sizes.sum())
             if m:
                 code = np.frombuffer(raw, np.uint8, m, 3 * len(w))  # words with neighbours were trained on, so they are among the keys
-                np.add.at(seen.reshape(-1), np.repeat(at, sizes) * 2 * SIDE + code, np.frombuffer(raw, "<u2", m, 3 * len(w) + m).astype(np.float64))
+                np.add.at(seen.reshape(-1), np.repeat(at, sizes) * 2 * SIDE + code, np.frombuffer(raw, "<u4", m, 3 * len(w) + m).astype(np.float64))
         likely = seen @ log_likely
         best = np.argmax(likely, axis=1) if len(keys) else np.zeros(0, np.int64)
         stays = (old < k) & (likely[np.arange(len(keys)), np.minimum(old, k - 1)] >= likely.max(axis=1, initial=-np.inf))
@@ -321,9 +321,10 @@ def coded(parts: DataFrame, model: ClassModel) -> DataFrame:
         got = replies.select("steps", "moved").mapInArrow(summed, "steps binary, moved long").toArrow().to_pylist()
         moved = sum(r["moved"] for r in got)
         model.moved.append(moved)
+        model.steps = sum((np.frombuffer(r["steps"], np.float64).reshape(SIDE, SIDE) for r in got), np.zeros((SIDE, SIDE)))
         if moved <= FEW * types or (last is not None and len(model.moved) > 3 and moved >= last):
             break
-        model.learn(sum((np.frombuffer(r["steps"], np.float64).reshape(SIDE, SIDE) for r in got), np.zeros((SIDE, SIDE))))
+        model.learn(model.steps)
         last = moved
         gc.collect()
         parts.sparkSession._jvm.System.gc()  # lets Spark drop the shuffle files of finished steps
