@@ -107,6 +107,43 @@ def test_toxicity_anchor_does_not_fade(spark, n):
     assert np.mean([got[i] == (i % 10 in (3, 4)) for i in got]) > 0.99
 
 
+def test_toxicity_learns_abuse_that_no_lexicon_names(spark):
+    """Half of the texts are in a language whose abusive words no voter knows: stems with changing endings, most seen once."""
+    rng = random.Random(3)
+    ends = ["".join(rng.choice("aeiounrst") for _ in range(rng.randint(1, 4))) for _ in range(200)]
+    plain = [["".join(rng.choice(letters) for _ in range(rng.randint(2, 8))) for _ in range(300)] for letters in ("aeioulnrst", "bdgkoöuüaä")]
+    rows, toxic = [], {}
+    for i in range(4000):
+        lang = i % 2
+        w = [rng.choice(plain[lang]) for _ in range(rng.randint(20, 80))]
+        toxic[i] = int(rng.random() < 0.2)
+        for _ in range(rng.randint(2, 4) * toxic[i]):
+            w[rng.randrange(len(w))] = rng.choice(["zworg", "krälb"]) + rng.choice(ends) if lang else rng.choice(["idiot", "moron", "scum"])
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, t) for i, t in toxic.items() if i % 5 < 3], "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in weak_toxicity.toxicity(docs, labels).collect()}
+    for lang in (0, 1):
+        held = [i for i in got if got[i]["held_out"] and i % 2 == lang]
+        assert np.mean([got[i]["predicted"] for i in held if toxic[i]]) >= 0.9
+        assert np.mean([got[i]["predicted"] for i in held if not toxic[i]]) <= 0.02
+
+
+def test_annotators_errors_are_estimated():
+    bits, said = np.array([0, 0, 0, 1, 1, 1]), np.array([0, 1, 2, 0, 1, 2])
+    model = weak_toxicity.label_model(bits, said, np.array([6000.0, 3900.0, 100.0, 600.0, 4.0, 396.0]))
+    table = model.tables[-1][:, 0, :]
+    assert table[0, 2] < 0.01 and (table[1:, 1] < 0.05).all()
+    ask = lambda b, s: 1 - model.posterior(np.array([[*weak_toxicity._unpacked(np.array([b]))[0], s]]))[0, 0]
+    assert ask(0, 2) > 0.8 and ask(0, 1) < 0.01 and ask(1, 0) > 0.9 and ask(0, 0) < 0.1
+
+
+def test_toxicity_of_rows_that_repeat_an_id(spark):
+    docs = spark.createDataFrame([(1, f"a line {k} for an idiot") for k in range(300)] + [(i, "a plain line of text") for i in range(2, 60)], "doc_id long, text string")
+    got = weak_toxicity.toxicity(docs, spark.createDataFrame([(1, 1)] + [(i, 0) for i in range(2, 60)], "doc_id long, toxic int"), sample_rows=100).collect()
+    assert len(got) == 358
+
+
 def test_toxicity_without_rows_or_labels(spark, data):
     docs, labels, toxic, _ = data
     assert weak_toxicity.toxicity(docs.limit(0), labels).count() == 0

@@ -2,9 +2,12 @@
 
 Many lexicon and pattern voters look at each text. A generative label model estimates their accuracies
 and correlations from counts of vote patterns over all texts; the annotations of all training rows
-that have one are one more voter, noisy like the others. Posterior labels of a bounded sample of
-training rows, annotated ones first, then train a sparse linear classifier over hashed word presence and the voters. The
-score of a text comes from that classifier alone, so annotations, language and source are no inputs.
+that have one are one more voter, whose error rates are estimated too. Each voter begins as a kind of
+toxic text of its own; texts that annotators call toxic though no voter fires are one more kind.
+Posterior labels of a bounded sample of annotated training rows (of all, where none is annotated) train a sparse
+linear classifier over hashed words, hashed character n-grams and the voters, so that abuse that no
+lexicon names is learnt from its spelling. The score of a text comes from that classifier alone:
+annotations, language and source are no inputs.
 """
 
 from __future__ import annotations
@@ -19,10 +22,15 @@ from tidegrid.llm import textvec as tv
 from tidegrid.llm.label_model import LabelModel, sparse_logistic
 
 U64 = np.uint64
-DIMS = 1 << 18
-SAMPLE_ROWS = 12_000
-LEAST_TEXTS = 12
-LEAST_APART = 5.0
+#: The classifier's rows, and how many features are kept of those whose log-likelihood ratio against chance is EVIDENCE or more.
+SAMPLE_ROWS = 24_000
+FEATURES = 20_000
+EVIDENCE = 12.0
+#: Bytes of a character n-gram; the first may be the sign before a word.
+GRAMS = (5, 6)
+FILTER_BITS = 22
+#: A block of about 1 MB of texts has fewer rows than 2**ROW_BITS; features keep the other bits of their hash.
+ROW_BITS = 20
 
 #: Words that abuse a person, by theme; general vocabulary of four languages.
 LEXICONS: dict[str, str] = {
@@ -39,8 +47,6 @@ LEXICONS: dict[str, str] = {
 THREATS = "shut up|kill yourself|kill you|hurt you|hate you|go die|screw you|fuck you|fuck off|get lost|beat you|destroy you|halt maul|verpiss dich|ferme la|ta gueule|te odio|cállate ya"
 ADDRESS = "you are|you re|you fucking|you stupid|such a|du bist|ihr seid|tu es|vous êtes|eres un|eres una|tú eres"
 VOTERS = [*LEXICONS, "threat", "address"]
-#: How an annotation is taken: P(none, 0, 1 | not toxic) and P(none, 0, 1 | toxic) up to a factor; some are wrong.
-ANNOTATION = np.array([[1.0, 0.96, 0.04], [1.0, 0.08, 0.92]])
 
 
 def _hashes(texts: list[str]) -> np.ndarray:
@@ -96,23 +102,78 @@ def _unpacked(bits: np.ndarray) -> np.ndarray:
     return (bits[:, None] >> np.arange(len(VOTERS))) & 1
 
 
+def features(b: np.ndarray, offs: np.ndarray, w: np.ndarray, first: np.ndarray, live: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and features of 64 - ROW_BITS bits: each word's hash, and each n-gram of GRAMS bytes that lies in a word or begins just before one.
+
+    With live (a filter on the top FILTER_BITS bits), only features that may be wanted.
+    """
+    n = len(offs) - 1
+    rows, found = [], []
+    top = U64(64 - ROW_BITS - FILTER_BITS)
+
+    def add(row, feature):
+        if live is not None:
+            some = np.flatnonzero(live[feature >> top])
+            row, feature = row[some] if isinstance(row, np.ndarray) else row(some), feature[some]
+        elif not isinstance(row, np.ndarray):
+            row = row(slice(None))
+        rows.append(row)
+        found.append(feature)
+
+    add(tv.row_of(first, len(w)), w >> U64(ROW_BITS))
+    # a sign after every text, and one before the first, so that no n-gram crosses texts; the sign before a text counts as its own
+    b = np.concatenate([[0x20], np.insert(tv.LOWER[b], offs[1:], 0x20)]).astype(np.uint8)
+    ends = offs[1:] + np.arange(1, n + 1)
+    inner = tv.ALNUM[b]
+    b = np.where(inner, b, 0).astype(U64)
+    run = np.cumsum(~inner)
+    packed, k = b.copy(), 1
+    for size in sorted(GRAMS):
+        if len(b) < size:
+            break
+        while k < size:
+            packed = packed[:-1] | b[k:] << U64(8 * k)
+            k += 1
+        at = np.flatnonzero(run[size - 1 :] == run[: len(packed)])  # no sign but at the first place
+        feature = tv.mix(packed[at] + U64(size << 56))
+        add(lambda some, at=at: np.searchsorted(ends, at[some] + 1, side="left"), feature >> U64(ROW_BITS))
+    return np.concatenate(rows), np.concatenate(found)
+
+
+def distinct_pairs(rows: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each pair of row and feature once, by feature and row; fewer than 2**ROW_BITS rows."""
+    key = np.sort(found << U64(ROW_BITS) | rows.astype(U64))
+    key = key[np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]]
+    return (key & U64((1 << ROW_BITS) - 1)).astype(np.int64), key >> U64(ROW_BITS)
+
+
 class Scorer:
-    """The classifier: hashed word presence and voters, all with nonzero weights only."""
+    """The classifier: the features with a weight, sorted, their weights, those of the voters, and the intercept."""
 
-    def __init__(self, weights: np.ndarray, voters: np.ndarray, intercept: float):
-        used = np.flatnonzero(weights)
-        self.weights = np.zeros(DIMS, np.float32)
-        self.weights[used] = weights[used]
-        self.voters, self.intercept = voters, intercept
+    def __init__(self, known: np.ndarray, weights: np.ndarray, voters: np.ndarray, intercept: float):
+        order = np.argsort(known)
+        self.known, self.weights, self.voters, self.intercept = known[order], weights[order], voters, intercept
 
-    def score(self, w: np.ndarray, first: np.ndarray, bits: np.ndarray) -> np.ndarray:
-        n = len(first) - 1
-        total = self.intercept + _unpacked(bits) @ self.voters
-        column = (w >> U64(46)).astype(np.int64)
-        live = np.flatnonzero(self.weights[column] != 0)
-        if len(live):
-            key = np.unique(tv.row_of(first, len(w))[live] * DIMS + column[live])
-            total = total + np.bincount(key // DIMS, weights=self.weights[key % DIMS], minlength=n)
+    def live(self) -> np.ndarray:
+        out = np.zeros(1 << FILTER_BITS, bool)
+        out[self.known >> U64(64 - ROW_BITS - FILTER_BITS)] = True
+        return out
+
+    def find(self, b: np.ndarray, offs: np.ndarray, w: np.ndarray, first: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and numbers of the known features, each once a row."""
+        rows, found = features(b, offs, w, first, live)
+        if not len(self.known) or not len(found):
+            return rows[:0], np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.known, found), len(self.known) - 1)
+        ok = self.known[at] == found
+        key = np.unique(rows[ok] * len(self.known) + at[ok])
+        return key // len(self.known), key % len(self.known)
+
+    def score(self, b: np.ndarray, offs: np.ndarray, voters: Voters, live: np.ndarray) -> np.ndarray:
+        w, first = _tokens(b, offs)
+        total = self.intercept + _unpacked(voters.votes(w, first)) @ self.voters
+        rows, at = self.find(b, offs, w, first, live)
+        total = total + np.bincount(rows, weights=self.weights[at], minlength=len(total))
         return 1 / (1 + np.exp(-np.clip(total, -40, 40)))
 
 
@@ -139,11 +200,19 @@ def counted(texts: DataFrame, labels: DataFrame | None, label: str = "toxic", he
 def label_model(bits: np.ndarray, said: np.ndarray, counts: np.ndarray) -> LabelModel:
     """The generative model of how often each vote pattern occurs with each annotation."""
     votes = np.concatenate([_unpacked(bits), said[:, None]], 1).astype(np.int64)
-    # kind 0 is not toxic; each voter begins as a kind of toxic text of its own, shared by the texts where several fire
     fired = votes[:, : len(VOTERS)].sum(axis=1)
-    start = np.concatenate([np.where(fired > 0, 0.05, 1.0)[:, None], votes[:, : len(VOTERS)] / np.maximum(fired, 1)[:, None]], 1)
-    kinds = np.array([0] + [1] * len(VOTERS))
-    return LabelModel([2] * len(VOTERS) + [3], fixed={len(VOTERS): ANNOTATION[kinds]}).fit(votes, counts, start)
+    # how toxic a pattern is at first: what annotators say of it, where nobody does what voters say
+    _, pattern = np.unique(bits, return_inverse=True)
+    yes, told = np.bincount(pattern, counts * (said == 2)), np.bincount(pattern, counts * (said > 0))
+    silent = fired == 0
+    rate = ((counts * (said == 2))[silent].sum() + 0.01) / ((counts * (said > 0))[silent].sum() + 1)
+    guess = (yes[pattern] + np.where(silent, rate, 0.95)) / (told[pattern] + 1)
+    guess = np.choose(said, [guess, 0.01, 0.99])
+    # kind 0 is not toxic; each voter is a kind of toxic text, shared by the texts where several fire; the last is that of annotators alone
+    alone = np.where(silent, 1.0, 0.02)[:, None]
+    share = votes[:, : len(VOTERS)] / np.maximum(fired, 1)[:, None] * (1 - alone)
+    start = np.concatenate([1 - guess[:, None], guess[:, None] * share, guess[:, None] * alone], 1)
+    return LabelModel([2] * len(VOTERS) + [3], annotator=(len(VOTERS), np.arange(len(VOTERS) + 2) > 0)).fit(votes, counts, start)
 
 
 def wanted(seen: DataFrame, labelled: int, others: int, sample_rows: int) -> DataFrame:
@@ -151,14 +220,14 @@ def wanted(seen: DataFrame, labelled: int, others: int, sample_rows: int) -> Dat
     room = 0.9 * sample_rows
     shares = [min(1.0, max(0.0, room - labelled) / max(1, others)), min(1.0, room / max(1, labelled))]
     limit = [int(x * (1 << 20)) + (x == 1.0) for x in shares]
-    return seen.where(F.col("train") & (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < F.when(F.col("said") > 0, limit[1]).otherwise(limit[0]))).select("doc_id", "said").distinct()
+    return seen.where(F.col("train") & F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < F.when(F.col("said") > 0, limit[1]).otherwise(limit[0]))).select("doc_id", "said").distinct()
 
 
 def fit(docs: DataFrame, labels: DataFrame | None, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", held_out: int = 0, sample_rows: int = SAMPLE_ROWS) -> Scorer:
     """The scorer. Pattern counts come from all texts, with the annotations of all rows outside the held-out fold; the classifier's rows are a sample of these.
 
-    The classifier sees about 0.9 * sample_rows rows at most, those with the smallest hashes of doc_id, annotated ones
-    first. Rows of labels that are null, neither 0 nor 1, or repeated for a doc_id (then the largest counts) are allowed.
+    The classifier sees sample_rows rows at most, about 0.9 of that: the annotated ones with the smallest hashes of doc_id, or,
+    where no row is annotated, such rows of all. Rows of labels that are null, neither 0 nor 1, or repeated for a doc_id (then the largest counts) are allowed.
     """
     texts = sh.id_text(docs, doc_id, text).where(F.col("text").isNotNull())
     voters = Voters()
@@ -166,46 +235,78 @@ def fit(docs: DataFrame, labels: DataFrame | None, doc_id: str = "doc_id", text:
     table = seen.groupBy("bits", "train", "said").agg(F.count("*").alias("n")).toArrow().sort_by([("bits", "ascending"), ("said", "ascending"), ("train", "ascending")])
     bits, said, counts = (table[x].to_numpy() for x in ("bits", "said", "n"))
     if not len(bits):
-        return Scorer(np.zeros(DIMS), np.ones(len(VOTERS)), -2.0)
+        return Scorer(np.zeros(0, U64), np.zeros(0), np.ones(len(VOTERS)), -2.0)
     model = label_model(bits, said, counts.astype(np.float64))
+    target_of = lambda bits, said: 1 - model.posterior(np.concatenate([_unpacked(bits), said[:, None]], 1).astype(np.int64))[:, 0]
 
     trained = table["train"].to_numpy()
-    picked = wanted(seen, int(counts[trained & (said > 0)].sum()), int(counts[trained & (said == 0)].sum()), sample_rows)
+    labelled = int(counts[trained & (said > 0)].sum())
+    # a row without annotation holds what voters miss as often as other rows do, so it would teach that this is harmless; and
+    # to add only those where a voter fires would teach that the voters' languages are toxic
+    others = 0 if labelled else int(counts[trained & (said == 0)].sum())
+    picked = wanted(seen.where("said > 0") if labelled else seen, labelled, others, sample_rows)
     ids = picked.withColumnRenamed("doc_id", "picked")  # a bounded number of ids: no text is shuffled
-    chosen = texts.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("picked"))).select("doc_id", "text", "said")
-
-    def features(batch: pa.RecordBatch) -> pa.Table:
-        votes, columns = [], []
+    chosen = sh.stored(texts.join(F.broadcast(ids), F.col("doc_id") == F.col("picked")).select("doc_id", "text", "said"))
+
+    def count(batches):
+        """How many rows of the sample hold each feature, and how toxic they are in all."""
+        found, n, t, rows, toxic = [np.zeros(0, U64)], [np.zeros(0, np.int64)], [np.zeros(0)], 0, 0.0
+        for batch in batches:
+            told = batch["said"].to_numpy()
+            for lo, hi, b, offs in tv.blocks(batch["text"]):
+                w, first = _tokens(b, offs)
+                target = target_of(voters.votes(w, first), told[lo:hi])
+                row, feature = distinct_pairs(*features(b, offs, w, first))
+                at, size = sh.groups_of(feature)
+                found.append(feature[at])
+                n.append(size)
+                t.append(np.add.reduceat(target[row], at) if len(at) else np.zeros(0))
+                rows, toxic = rows + hi - lo, toxic + float(target.sum())
+                if sum(map(len, found)) > 3 * len(found[0]) + (1 << 20):
+                    found, n, t = _merged(found, n, t)
+        found, n, t = _merged(found, n, t)
+        table = pa.table({"feature": pa.array(np.append(found[0].view(np.int64), 0)), "n": pa.array(np.append(n[0], rows)), "t": pa.array(np.append(t[0], toxic)), "all": pa.array(np.append(np.zeros(len(n[0]), bool), True))})
+        yield from table.to_batches(1 << 16)
+
+    sums = chosen.select("text", "said").mapInArrow(count, "feature long, n long, t double, all boolean").groupBy("all", "feature").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    sums = sh.stored(sums.where("n >= 3 or all"))
+    every = sums.where("all").first()
+    mean = min(1 - 1e-6, max(1e-6, every["t"] / max(1, every["n"]))) if every else 0.5
+    part = lambda x, share: F.when(x > 1e-9, x * F.log(x / (F.col("n") * share))).otherwise(0.0)
+    evidence = 2 * (part(F.col("t"), mean) + part(F.col("n") - F.col("t"), 1 - mean))
+    kept = sums.where(~F.col("all")).select("feature", evidence.alias("evidence")).where(F.col("evidence") >= EVIDENCE).orderBy(F.desc("evidence"), "feature").limit(FEATURES).toArrow()
+    plain = Scorer(kept["feature"].to_numpy().view(U64), np.zeros(len(kept)), np.zeros(len(VOTERS)), 0.0)
+
+    def present(batch: pa.RecordBatch) -> pa.Table:
+        live, votes, columns = plain.live(), [], []
         for lo, hi, b, offs in tv.blocks(batch["text"]):
             w, first = _tokens(b, offs)
             votes.append(voters.votes(w, first))
-            columns += [np.unique((w[x:y] >> U64(46)).astype(np.uint32)).tobytes() for x, y in zip(first, first[1:])]
+            rows, at = plain.find(b, offs, w, first, live)
+            edge = np.searchsorted(rows, np.arange(hi - lo + 1))
+            columns += [at[x:y].astype(np.uint32).tobytes() for x, y in zip(edge, edge[1:])]
         return pa.table({"doc_id": batch["doc_id"], "said": batch["said"], "bits": pa.array(np.concatenate(votes or [np.zeros(0, np.int64)])), "columns": pa.array(columns, pa.binary())})
 
-    sample = sh.map_batches(chosen, features, "doc_id long, said int, bits long, columns binary").toArrow().sort_by([("doc_id", "ascending"), ("bits", "ascending")])
-    told_so, own = sample["said"].to_numpy(), sample["bits"].to_numpy()
-
-    columns = [np.frombuffer(x, np.uint32).astype(np.int64) for x in sample["columns"].to_pylist()]
-    target = 1 - model.posterior(np.concatenate([_unpacked(own), told_so[:, None]], 1).astype(np.int64))[:, 0]
-    flat = np.concatenate(columns or [np.zeros(0, np.int64)])
-    often = np.bincount(flat, minlength=DIMS)
-    # only words that occur with toxic texts far more or less than by chance are worth a weight
-    told = np.bincount(flat, weights=np.repeat(target, [len(c) for c in columns]), minlength=DIMS)
-    mean = float(target.mean()) if len(target) else 0.0
-    apart = np.abs(told - often * mean) / np.sqrt(np.maximum(often * mean * (1 - mean), 1e-9))
-    used = np.flatnonzero((often >= LEAST_TEXTS) & (apart >= LEAST_APART))
-    place = np.full(DIMS, -1)
-    place[used] = np.arange(len(used))
+    # rows that repeat a doc_id are chosen together, so the limit keeps what comes to the driver bounded
+    sample = sh.map_batches(chosen, present, "doc_id long, said int, bits long, columns binary").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id", "bits", "columns").limit(sample_rows).toArrow()
+    told, own = sample["said"].to_numpy(), sample["bits"].to_numpy().astype(np.int64)
+    target = target_of(own, told)
     at, lines = [0], []
-    for c, v in zip(columns, own):
-        line = place[c]
-        line = np.concatenate([line[line >= 0], len(used) + np.flatnonzero((v >> np.arange(len(VOTERS))) & 1)])
-        lines.append(line)
-        at.append(at[-1] + len(line))
-    w, b = sparse_logistic(np.array(at), np.concatenate(lines or [np.zeros(0, np.int64)]).astype(np.int64), target, len(used) + len(VOTERS), 4e-3, len(VOTERS))
-    weights = np.zeros(DIMS)
-    weights[used] = w[: len(used)]
-    return Scorer(weights, w[len(used) :], b)
+    for c, v in zip(sample["columns"].to_pylist(), own):
+        lines.append(np.concatenate([np.frombuffer(c, np.uint32).astype(np.int64), len(plain.known) + np.flatnonzero((v >> np.arange(len(VOTERS))) & 1)]))
+        at.append(at[-1] + len(lines[-1]))
+    # each row counts for its likelier answer as much as that is sure; a feature needs the evidence of a few rows, however many there are
+    w, b = sparse_logistic(np.array(at), np.concatenate(lines or [np.zeros(0, np.int64)]).astype(np.int64), np.round(target), len(plain.known) + len(VOTERS), 1.0 / max(1, len(own)), len(VOTERS), weight=np.abs(2 * target - 1))
+    used = np.flatnonzero(w[: len(plain.known)])
+    return Scorer(plain.known[used], w[used], w[len(plain.known) :], b)
+
+
+def _merged(found: list, n: list, t: list) -> tuple[list, list, list]:
+    """Sums by feature."""
+    keys, n, t = np.concatenate(found), np.concatenate(n), np.concatenate(t)
+    order = np.argsort(keys, kind="stable")
+    at, _ = sh.groups_of(keys[order])
+    return [keys[order][at]], [np.add.reduceat(n[order], at) if len(at) else n], [np.add.reduceat(t[order], at) if len(at) else t]
 
 
 def score(docs: DataFrame, scorer: Scorer, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -213,10 +314,8 @@ def score(docs: DataFrame, scorer: Scorer, doc_id: str = "doc_id", text: str = "
     voters = Voters()
 
     def work(batch: pa.RecordBatch) -> pa.Table:
-        out = []
-        for _lo, _hi, b, offs in tv.blocks(batch["text"]):
-            w, first = _tokens(b, offs)
-            out.append(scorer.score(w, first, voters.votes(w, first)))
+        live = scorer.live()
+        out = [scorer.score(b, offs, voters, live) for _lo, _hi, b, offs in tv.blocks(batch["text"])]
         return pa.table({"doc_id": batch["doc_id"], "score": pa.array(np.concatenate(out or [np.zeros(0)]))})
 
     return sh.map_batches(sh.id_text(docs, doc_id, text), work, "doc_id long, score double")
@@ -228,10 +327,8 @@ def accepted(docs: DataFrame, scorer: Scorer, text: str = "text", threshold: flo
     place = [f.name for f in schema.fields].index(text)
 
     def work(batch: pa.RecordBatch) -> pa.Table:
-        keep = [np.zeros(0, bool)]
-        for _lo, _hi, b, offs in tv.blocks(batch.column(place)):
-            w, first = _tokens(b, offs)
-            keep.append(scorer.score(w, first, voters.votes(w, first)) < threshold)
+        live = scorer.live()
+        keep = [np.zeros(0, bool), *(scorer.score(b, offs, voters, live) < threshold for _lo, _hi, b, offs in tv.blocks(batch.column(place)))]
         return pa.Table.from_batches([batch]).filter(pa.array(np.concatenate(keep)))
 
     return sh.map_batches(docs, work, schema)
