@@ -10,12 +10,15 @@ from every training text:
 3. Distributed exchange steps for all words, head and others: the classes of all neighbours (ends
    too), summed over the corpus, choose the class under which they are likeliest. After the first, each
    step moves a random half of the words, or rare neighbours would swap classes for ever. Steps go on
-   while words move: until fewer than FEW of them do, or a step moves no fewer than the one before.
+   until they have converged: fewer than FEW of the words move, a step moves no fewer than the one
+   before, or the information that a class has on the next rises by less than GAIN of itself.
 4. Class transitions over all training tokens. Words never seen are one type in a class of its own,
    whose probabilities are those of words seen once.
 
-Texts meet their words' counts and classes again through an exchange by part; the word table is
-neither broadcast nor collected.
+Texts are tokenised once: a part becomes one row of its distinct hashes and the sequence of their
+numbers, kept by part between steps (and recomputed from the texts where an executor is lost). Parts
+meet their words' counts and classes again through an exchange; the word table is neither broadcast
+nor collected.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from tidegrid.llm import shared as sh
 from tidegrid.llm import textvec as tv
@@ -34,12 +38,15 @@ U64 = np.uint64
 CLASSES = 48
 HEAD = 12
 FEW = 0.01
+GAIN = 0.01
+CHUNK = 1 << 21  # tokens that are counted at once
 SIDE = 64  # codes of right neighbours begin here
 ONCE = 128  # set in a token's class byte if its word was seen once
 END = U64(0x0DEAD0E0D0C0FFEE)
 COUNTS = "bucket int, keys binary, counts binary"
 SENT = "part int, bucket int, n int, keys binary, more binary"
 REPLIED = "part int, bucket int, classes binary, counts binary, steps binary, moved long"
+ENCODED = "part int, ids binary, first binary, keys binary, seq binary"
 CODED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, log_counts double, classes binary"
 
 
@@ -65,27 +72,82 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[order][at], (np.add.reduceat(counts[order], at) if len(at) else counts[:0])
 
 
-def count_words(texts: DataFrame, bits: int, held_out: int) -> DataFrame:
+def encoded(parts: DataFrame) -> DataFrame:
+    """A row for each part: doc_ids in order, the first token of each text, the sorted distinct hashes, and their numbers in the order of the tokens."""
+
+    def encode(key, table):
+        ids, text = sh.in_order(table)
+        w, first, done = [np.zeros(0, U64)], [np.zeros(1, np.int64)], 0
+        for _lo, _hi, b, offs in tv.blocks(text):
+            h, at = tokens(b, offs)
+            w.append(h)
+            first.append(at[1:] + done)
+            done += len(h)
+        keys, seq = np.unique(np.concatenate(w), return_inverse=True)
+        raw = lambda x, kind: pa.array([x.astype(kind).tobytes()], pa.binary())
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "ids": raw(ids, "<i8"), "first": raw(np.concatenate(first), "<i8"), "keys": raw(keys, "<u8"), "seq": raw(seq, "<u4")})
+
+    spark = parts.sparkSession
+    rows = parts.groupBy("part").applyInArrow(encode, ENCODED)
+    return rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "part").persist(StorageLevel.DISK_ONLY)
+
+
+def _as_encoded(rows: DataFrame) -> DataFrame:
+    """rows, if they are encoded parts; else those of doc_id and text, dealt into parts first if they are not."""
+    if "seq" in rows.columns:
+        return rows
+    return encoded(rows if "part" in rows.columns else sh.parted(rows)[0])
+
+
+class _Encoded:
+    """One such row."""
+
+    def __init__(self, row: dict, held_out: int):
+        self.ids, self.first, self.keys = (np.frombuffer(row[n], k) for n, k in (("ids", "<i8"), ("first", "<i8"), ("keys", "<u8")))
+        self.seq, self.train = np.frombuffer(row["seq"], "<u4"), train_fold(self.ids, held_out)
+
+    def chunks(self):
+        """Numbers of the tokens, of those before and after them (-1 beyond a text's ends), and whether they are trained on; CHUNK tokens at once."""
+        n = len(self.seq)
+        for a in range(0, n, CHUNK):
+            b = min(n, a + CHUNK)
+            own = self.seq[max(0, a - 1) : b + 1].astype(np.int64)
+            here = own[a - max(0, a - 1) : len(own) - (min(n, b + 1) - b)]
+            before = own[: len(here)] if a else np.concatenate([[-1], own[: len(here) - 1]])
+            after = own[-len(here) :] if b < n else np.concatenate([own[len(own) - len(here) + 1 :], [-1]])
+            lo, hi = np.searchsorted(self.first, [a, b], "left")
+            begin = self.first[lo:hi]
+            before, after = before.copy(), after.copy()
+            before[begin[begin < b] - a] = -1
+            ends = self.first[1:] - 1
+            lo, hi = np.searchsorted(ends, [a, b], "left")
+            after[ends[lo:hi] - a] = -1
+            train = self.train[np.searchsorted(self.first, np.arange(a, b), "right") - 1] if self.train.any() and not self.train.all() else np.full(b - a, bool(self.train.all()))
+            yield here, before, after, train
+
+
+def _rows(batches, held_out: int):
+    for batch in batches:
+        for row in batch.to_pylist():
+            yield row["part"], _Encoded(row, held_out)
+
+
+def count_words(rows: DataFrame, bits: int, held_out: int) -> DataFrame:
     """bucket, keys (sorted hashes) and counts of the tokens of training texts, stored."""
 
     def count(batches):
-        for batch in batches:
-            keys, counts = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
-            train = train_fold(batch["doc_id"].fill_null(sh.NO_ID).to_numpy(), held_out)
-            for lo, hi, b, offs in tv.blocks(batch["text"]):
-                w, first = tokens(b, offs)
-                w = w[train[lo:hi][tv.row_of(first, len(w))]]
-                k, n = np.unique(w, return_counts=True)
-                keys.append(k)
-                counts.append(n)
-            k, n = _summed(np.concatenate(keys), np.concatenate(counts))
-            yield from sh.ask(0, k, bits, 8, None, n.astype(np.int64)).select(["bucket", "keys", "more"]).rename_columns(["bucket", "keys", "counts"]).to_batches()
+        for _part, own in _rows(batches, held_out):
+            n = np.zeros(len(own.keys), np.int64)
+            for here, _before, _after, train in own.chunks():
+                n += np.bincount(here[train], minlength=len(n))
+            some = n > 0
+            yield from sh.ask(0, own.keys[some], bits, 8, None, n[some]).select(["bucket", "keys", "more"]).rename_columns(["bucket", "keys", "counts"]).to_batches()
 
     def total(key, table):
         k, n = _summed(sh.unpack_keys(b"".join(table["keys"].to_pylist()), 8), np.frombuffer(b"".join(table["counts"].to_pylist()), np.int64))
         return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "keys": pa.array([k.tobytes()], pa.binary()), "counts": pa.array([n.tobytes()], pa.binary())})
 
-    return sh.stored(texts.mapInArrow(count, COUNTS).groupBy("bucket").applyInArrow(total, COUNTS))
+    return sh.stored(rows.mapInArrow(count, COUNTS).groupBy("bucket").applyInArrow(total, COUNTS))
 
 
 def exchange(n: np.ndarray, k: int, fixed: int) -> np.ndarray:
@@ -137,9 +199,10 @@ def exchange(n: np.ndarray, k: int, fixed: int) -> np.ndarray:
 class ClassModel:
     """Classes: 0 .. k-1 of words, k of words without a trained neighbour, k + 1 of the end, k + 2 of unseen words, k + 3 the start."""
 
-    def __init__(self, texts: DataFrame, n_parts: int, held_out: int, classes: int, head: float):
+    def __init__(self, rows: DataFrame, n_parts: int, held_out: int, classes: int, head: float):
+        rows = _as_encoded(rows)
         self.bits, self.held_out, self.k = sh.bucket_bits(n_parts), held_out, classes
-        self.counts = count_words(texts, self.bits, held_out)
+        self.counts = count_words(rows, self.bits, held_out)
         read = lambda name: lambda batch: pa.table({name: pa.array([int(np.frombuffer(x, np.int64).sum()) for x in batch["counts"].to_pylist()], pa.int64()), "types": pa.array([len(x) // 8 for x in batch["counts"].to_pylist()], pa.int64())})
         sums = sh.map_batches(self.counts, read("tokens"), "tokens long, types long").agg(F.sum("tokens").alias("n"), F.sum("types").alias("v")).first()
         self.total, self.types = int(sums["n"] or 0), int(sums["v"] or 0)
@@ -163,7 +226,7 @@ class ClassModel:
         words = words[words != END][:size]
         self.words = np.sort(words)
         rank = np.argsort(np.argsort(words))  # position in self.words of the word of each frequency rank
-        n = self._bigrams(texts)
+        n = self._bigrams(rows)
         places = np.concatenate([rank, [len(words), len(words) + 1]]).astype(np.int64)
         by_rank = exchange(n[np.ix_(places, places)], classes, 2)
         self.word_class = np.empty(len(words), np.int64)
@@ -181,53 +244,54 @@ class ClassModel:
         self.log_likely[places] = np.log(c[places, :k] / c[places, :k].sum(axis=0))
         self.log_likely[[SIDE + x for x in places]] = np.log(c[:k, places] / c[:k, places].sum(axis=1, keepdims=True)).T
 
-    def _bigrams(self, texts: DataFrame) -> np.ndarray:
+    def _bigrams(self, rows: DataFrame) -> np.ndarray:
         words, held_out, m = self.words, self.held_out, len(self.words)
 
         def count(batches):
             n = np.zeros((m + 2) * (m + 2), np.int64)
-            for batch in batches:
-                train = train_fold(batch["doc_id"].fill_null(sh.NO_ID).to_numpy(), held_out)
-                for lo, hi, b, offs in tv.blocks(batch["text"]):
-                    w, first = tokens(b, offs)
-                    i = _head_index(words, w)
-                    before = np.concatenate([[m + 1], i[:-1]])  # before a text's first token stands an end
-                    ok = train[lo:hi][tv.row_of(first, len(w))]
-                    n += np.bincount(before[ok] * (m + 2) + i[ok], minlength=len(n))
+            for _part, own in _rows(batches, held_out):
+                place = np.append(_head_index(words, own.keys), m + 1)  # before a text's first token stands an end
+                for here, before, _after, ok in own.chunks():
+                    pair, times = np.unique(place[before[ok]] * (m + 2) + place[here[ok]], return_counts=True)
+                    n[pair] += times
             at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_pydict({"pair": pa.array(at), "n": pa.array(n[at])})
+            for a in range(0, len(at), 1 << 16):
+                yield pa.RecordBatch.from_pydict({"pair": pa.array(at[a : a + (1 << 16)]), "n": pa.array(n[at[a : a + (1 << 16)]])})
 
-        rows = texts.mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+        rows = rows.mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
         out = np.zeros((m + 2) * (m + 2))
         out[rows["pair"].to_numpy()] = rows["n"].to_numpy()
         return out.reshape(m + 2, m + 2)
 
 
-def coded(parts: DataFrame, model: ClassModel) -> DataFrame:
+def information(steps: np.ndarray) -> float:
+    """The mutual information of neighbouring classes, in nats a token, from their bigram counts."""
+    p = steps / max(1.0, steps.sum())
+    q = p.sum(axis=1, keepdims=True) * p.sum(axis=0, keepdims=True)
+    return float((p[p > 0] * np.log(p[p > 0] / q[p > 0])).sum())
+
+
+def coded(rows: DataFrame, model: ClassModel) -> DataFrame:
     """Each text as the classes of its tokens, with its base score, through the exchange."""
+    rows = _as_encoded(rows)
     bits, k, held_out, total, types = model.bits, model.k, model.held_out, model.total, model.types
     head, head_class, counts = model.words, model.word_class, model.counts
     known_class = np.concatenate([head_class, [k, k + 1]])  # k: none yet
     index = lambda w: _head_index(head, w)
 
-    def distinct(ids, text):
-        return np.unique(np.concatenate([tokens(b, offs)[0] for _lo, _hi, b, offs in tv.blocks(text)] or [np.zeros(0, U64)]))
-
-    def send(key, table, replies=None):
-        ids, text = sh.in_order(table)
-        train, keys = train_fold(ids, held_out), distinct(ids, text)
+    def send(table, replies=None):
+        row = table.to_pylist()[0]
+        part = _Encoded(row, held_out)
+        keys = part.keys
         own = known_class[index(keys)].astype(np.uint8) if replies is None else np.frombuffer(b"".join(replies.sort_by("bucket")["classes"].to_pylist()), np.uint8)
+        class_of = np.append(own, k + 1).astype(np.int64)  # beyond a text's ends stands an end
         codes, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for lo, hi, b, offs in tv.blocks(text):
-            w, first = tokens(b, offs)
-            ok = train[lo:hi][tv.row_of(first, len(w))]
-            place = np.searchsorted(keys, w)
-            c = own[place].astype(np.int64)
-            left = np.concatenate([[k + 1], c[:-1]])  # before a text's first token stands an end
-            right = np.append(c[1:], k + 1)
-            x, y = ok & (left != k), ok & (right != k) & (w != END)
-            got = np.unique(np.concatenate([place[x] * 2 * SIDE + left[x], place[y] * 2 * SIDE + SIDE + right[y]]), return_counts=True)
-            codes, n = _summed(np.concatenate([codes, got[0]]), np.concatenate([n, got[1]]))
+        is_end = np.append(keys == END, False)
+        for here, before, after, ok in part.chunks():
+            left, right = class_of[before], class_of[after]
+            x, y = ok & (left != k), ok & (right != k) & ~is_end[here]
+            got = np.unique(np.concatenate([here[x] * 2 * SIDE + left[x], here[y] * 2 * SIDE + SIDE + right[y]]), return_counts=True)
+            codes, n = _summed(np.concatenate([codes, got[0]]), np.concatenate([n, got[1]])) if len(codes) else got
         sizes = np.bincount(codes // (2 * SIDE), minlength=len(keys))
         bucket = (keys >> U64(64 - bits)).astype(np.int64)
         which = np.unique(bucket)
@@ -236,7 +300,7 @@ def coded(parts: DataFrame, model: ClassModel) -> DataFrame:
         blob = lambda a, b: own[a:b].tobytes() + sizes[a:b].astype("<u2").tobytes() + (codes[at[a] : at[b]] % (2 * SIDE)).astype(np.uint8).tobytes() + n[at[a] : at[b]].astype("<u4").tobytes()
         return pa.table(
             {
-                "part": pa.array(np.full(len(which), key[0].as_py(), np.int32)),
+                "part": pa.array(np.full(len(which), row["part"], np.int32)),
                 "bucket": pa.array(which.astype(np.int32)),
                 "n": pa.array((hi - lo).astype(np.int32)),
                 "keys": pa.array([keys[a:b].tobytes() for a, b in zip(lo, hi)], pa.binary()),
@@ -244,7 +308,7 @@ def coded(parts: DataFrame, model: ClassModel) -> DataFrame:
             }
         )
 
-    def choose(key, asked, table, log_likely, turn):
+    def choose(asked, table, log_likely, turn):
         """The exchange step: every word of the bucket gets the class under which its neighbours are likeliest."""
         keys = np.frombuffer(b"".join(table["keys"].to_pylist()), U64)
         often = np.frombuffer(b"".join(table["counts"].to_pylist()), np.int64)
@@ -278,33 +342,37 @@ def coded(parts: DataFrame, model: ClassModel) -> DataFrame:
             at = np.minimum(np.searchsorted(keys, w), max(0, len(keys) - 1))
             ok = (keys[at] == w) if len(keys) else np.zeros(len(w), bool)
             classes.append(np.where(ok, best[at], k + 2).astype(np.uint8).tobytes() if len(keys) else np.full(len(w), k + 2, np.uint8).tobytes())
-            counts.append((np.where(ok, often[at], 0) if len(keys) else np.zeros(len(w))).astype("<u4" if total < 1 << 32 else "<i8").tobytes())
+            # counts do not change: they go back once
+            counts.append(None if turn else (np.where(ok, often[at], 0) if len(keys) else np.zeros(len(w))).astype("<u4" if total < 1 << 32 else "<i8").tobytes())
         return pa.table({"part": asked["part"].cast(pa.int32()), "bucket": asked["bucket"].cast(pa.int32()), "classes": pa.array(classes, pa.binary()), "counts": pa.array(counts, pa.binary()), "steps": pa.array([steps.tobytes()] + [None] * (len(asked) - 1) if len(asked) else [], pa.binary()), "moved": pa.array([moved] + [0] * (len(asked) - 1) if len(asked) else [], pa.int64())})
 
     def code(key, table, replies):
-        ids, text = sh.in_order(table)
-        keys, train = distinct(ids, text), train_fold(ids, held_out)
+        part = _Encoded(table.to_pylist()[0], held_out)
+        ids, train, first = part.ids, part.train, part.first
         replies = replies.sort_by("bucket")  # buckets follow the order of the keys
-        cls = np.frombuffer(b"".join(replies["classes"].to_pylist()), np.uint8)
-        often = np.frombuffer(b"".join(replies["counts"].to_pylist()), "<u4" if total < 1 << 32 else "<i8").astype(np.int64)
+        joined = lambda name: b"".join(x for x in replies[name].to_pylist() if x is not None)
+        cls = np.frombuffer(joined("classes"), np.uint8)
+        often = np.frombuffer(joined("counts"), "<u4" if total < 1 << 32 else "<i8").astype(np.int64)
         base = np.log10(often + 0.5) - np.log10(total + 0.5 * (types + 1))
         logs = np.where(often > 0, np.log10(np.maximum(often, 1)), 0.0)
         mark = np.where(often == 1, cls | ONCE, cls).astype(np.uint8)
         out = {n: [] for n in ("n_tokens", "n_known", "base_score", "log_counts", "classes")}
-        for _lo, hi, b, offs in tv.blocks(text):
-            w, first = tokens(b, offs)
-            i = np.searchsorted(keys, w)
-            out["n_tokens"].append(np.diff(first))
-            out["n_known"].append(np.add.reduceat(often[i] > 0, first[:-1], dtype=np.int64))
-            out["base_score"].append(np.add.reduceat(base[i], first[:-1]))
-            out["log_counts"].append(np.add.reduceat(logs[i], first[:-1]))
+        step = max(1, len(ids) // (1 + len(part.seq) // CHUNK))
+        for lo in range(0, len(ids), step):
+            hi = min(len(ids), lo + step)
+            at = first[lo : hi + 1] - first[lo]
+            i = part.seq[first[lo] : first[hi]]
+            out["n_tokens"].append(np.diff(at))
+            out["n_known"].append(np.add.reduceat(often[i] > 0, at[:-1], dtype=np.int64))
+            out["base_score"].append(np.add.reduceat(base[i], at[:-1]))
+            out["log_counts"].append(np.add.reduceat(logs[i], at[:-1]))
             raw = memoryview(mark[i].tobytes())
-            out["classes"] += [raw[x:y].tobytes() for x, y in zip(first.tolist(), first[1:].tolist())]
+            out["classes"] += [raw[x:y].tobytes() for x, y in zip(at.tolist(), at[1:].tolist())]
         flat = lambda n, kind: pa.array(np.concatenate(out[n] or [np.zeros(0)]).astype(kind))
         return pa.table({"doc_id": sh.null_ids(ids), "held_out": pa.array(~train), "n_tokens": flat("n_tokens", np.int64), "n_known": flat("n_known", np.int64), "base_score": flat("base_score", np.float64), "log_counts": flat("log_counts", np.float64), "classes": pa.array(out["classes"], pa.binary())})
 
     def chooser(log_likely, turn):
-        return lambda key, asked, table: choose(key, asked, table, log_likely, turn)
+        return lambda key, asked, table: choose(asked, table, log_likely, turn)
 
     def summed(batches):
         steps, moved = np.zeros((SIDE, SIDE)), 0
@@ -313,22 +381,26 @@ def coded(parts: DataFrame, model: ClassModel) -> DataFrame:
             moved += sum(batch["moved"].to_pylist())
         yield pa.RecordBatch.from_pydict({"steps": pa.array([steps.tobytes()], pa.binary()), "moved": pa.array([moved], pa.int64())})
 
-    by_part, replies, last = parts.groupBy("part"), None, None
-    model.moved = []
+    by_part, replies, counted, last, known = rows.groupBy("part"), None, None, None, 0.0
+    model.moved, model.information = [], []
     while True:
-        sent = by_part.applyInArrow(lambda key, table: send(key, table), SENT) if replies is None else by_part.cogroup(replies.select("part", "bucket", "classes").groupBy("part")).applyInArrow(lambda key, table, replies: send(key, table, replies), SENT)
+        sent = by_part.applyInArrow(lambda key, table: send(table), SENT) if replies is None else by_part.cogroup(replies.select("part", "bucket", "classes").groupBy("part")).applyInArrow(lambda key, table, replies: send(table, replies), SENT)
         replies = sh.stored(sent.groupBy("bucket").cogroup(counts.groupBy("bucket")).applyInArrow(chooser(model.log_likely, len(model.moved)), REPLIED))
+        counted = counted or replies.select("part", "bucket", F.lit(None).cast("binary").alias("classes"), "counts")
         got = replies.select("steps", "moved").mapInArrow(summed, "steps binary, moved long").toArrow().to_pylist()
         moved = sum(r["moved"] for r in got)
-        model.moved.append(moved)
         model.steps = sum((np.frombuffer(r["steps"], np.float64).reshape(SIDE, SIDE) for r in got), np.zeros((SIDE, SIDE)))
-        if moved <= FEW * types or (last is not None and len(model.moved) > 3 and moved >= last):
+        model.moved.append(moved)
+        model.information.append(information(model.steps))
+        settled = len(model.moved) > 3 and (moved >= last or model.information[-1] < (1 + GAIN) * known)
+        if moved <= FEW * types or settled:
             break
         model.learn(model.steps)
-        last = moved
+        last, known = moved, model.information[-1]
         gc.collect()
-        parts.sparkSession._jvm.System.gc()  # lets Spark drop the shuffle files of finished steps
-    return by_part.cogroup(replies.select("part", "bucket", "classes", "counts").groupBy("part")).applyInArrow(code, CODED)
+        rows.sparkSession._jvm.System.gc()  # lets Spark drop the shuffle files of finished steps
+    both = replies.select("part", "bucket", "classes", F.lit(None).cast("binary").alias("counts")).unionByName(counted)
+    return by_part.cogroup(both.groupBy("part")).applyInArrow(code, CODED)
 
 
 def _head_index(words: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -402,8 +474,10 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out
     each. Further columns are ignored. An empty table gives no rows.
     """
     parts, n = sh.parted(docs, doc_id, text, part_bytes)
-    model = ClassModel(sh.id_text(docs, doc_id, text), n, held_out, classes, head)
-    texts = sh.stored(coded(parts, model))
+    rows = encoded(parts)
+    model = ClassModel(rows, n, held_out, classes, head)
+    texts = sh.stored(coded(rows, model))
+    rows.unpersist()
     log_p, of_class = transitions(texts, classes)
     k, start = classes, classes + 3
     emit = np.where(np.arange(classes + 4) == classes + 2, 0.0, -np.log10(np.maximum(of_class, 1)))
