@@ -15,21 +15,22 @@ from every training text:
 4. Class transitions over all training tokens. Words never seen are one type in a class of its own,
    whose probabilities are those of words seen once.
 
-Texts are tokenised once: a part becomes one row of its distinct hashes and the sequence of their
-numbers, kept by part between steps (and recomputed from the texts where an executor is lost). Parts
-meet their words' counts and classes again through an exchange; the word table is neither broadcast
-nor collected.
+Texts are tokenised once, where they are read: about part_bytes of them become one row of their distinct
+hashes and the sequence of their numbers, in a table in the shared folder that is bucketed by part, so
+that no step deals it again. Parts meet their words' counts and classes again through an exchange; the
+word table is neither broadcast nor collected.
 """
 
 from __future__ import annotations
 
 import gc
+import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from tidegrid.llm import shared as sh
 from tidegrid.llm import textvec as tv
@@ -44,9 +45,9 @@ SIDE = 64  # codes of right neighbours begin here
 ONCE = 128  # set in a token's class byte if its word was seen once
 END = U64(0x0DEAD0E0D0C0FFEE)
 COUNTS = "bucket int, keys binary, counts binary"
-SENT = "part int, bucket int, n int, keys binary, more binary"
-REPLIED = "part int, bucket int, classes binary, counts binary, steps binary, moved long"
-ENCODED = "part int, ids binary, first binary, keys binary, seq binary"
+SENT = "part long, bucket int, n int, keys binary, more binary"
+REPLIED = "part long, bucket int, classes binary, counts binary, steps binary, moved long"
+ENCODED = "part long, ids binary, first binary, keys binary, seq binary"
 CODED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, log_counts double, classes binary"
 
 
@@ -72,39 +73,61 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[order][at], (np.add.reduceat(counts[order], at) if len(at) else counts[:0])
 
 
-def encoded(parts: DataFrame) -> DataFrame:
-    """A row for each part: doc_ids in order, the first token of each text, the sorted distinct hashes, and their numbers in the order of the tokens."""
+def encoded(texts: DataFrame, part_bytes: int = sh.PART_BYTES) -> DataFrame:
+    """A row for each part: doc_ids, the first token of each text, the distinct hashes, most frequent first, and their numbers in the order of the tokens (compressed by byte)."""
 
-    def encode(key, table):
-        ids, text = sh.in_order(table)
-        w, first, done = [np.zeros(0, U64)], [np.zeros(1, np.int64)], 0
-        for _lo, _hi, b, offs in tv.blocks(text):
-            h, at = tokens(b, offs)
-            w.append(h)
-            first.append(at[1:] + done)
-            done += len(h)
-        keys, seq = np.unique(np.concatenate(w), return_inverse=True)
-        raw = lambda x, kind: pa.array([x.astype(kind).tobytes()], pa.binary())
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "ids": raw(ids, "<i8"), "first": raw(np.concatenate(first), "<i8"), "keys": raw(keys, "<u8"), "seq": raw(seq, "<u4")})
+    def encode(batches):
+        context = TaskContext.get()
+        part = (context.partitionId() if context else 0) << 32
+        ids, w, first, done, size = [], [], [np.zeros(1, np.int64)], 0, 0
 
-    spark = parts.sparkSession
-    rows = parts.groupBy("part").applyInArrow(encode, ENCODED)
-    return rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "part").persist(StorageLevel.DISK_ONLY)
+        def row():
+            keys, seq, often = np.unique(np.concatenate([np.zeros(0, U64), *w]), return_inverse=True, return_counts=True)
+            order = np.argsort(-often, kind="stable")
+            rank = np.empty(len(keys), np.uint32)
+            rank[order] = np.arange(len(keys), dtype=np.uint32)
+            planes = np.ascontiguousarray(rank[seq].astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+            raw = lambda x, kind: pa.array([x.astype(kind).tobytes()], pa.binary())
+            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "ids": raw(np.concatenate(ids), "<i8"), "first": raw(np.concatenate(first), "<i8"), "keys": raw(keys[order], "<u8"), "seq": pa.array([pa.compress(planes, codec="zstd", asbytes=True)], pa.binary())})
+
+        for batch in batches:
+            own = batch["doc_id"].fill_null(sh.NO_ID).to_numpy()
+            for lo, hi, b, offs in tv.blocks(batch["text"]):
+                h, at = tokens(b, offs)
+                ids.append(own[lo:hi])
+                w.append(h)
+                first.append(at[1:] + done)
+                done, size = done + len(h), size + len(b)
+                if size >= part_bytes:
+                    yield row()
+                    part += 1
+                    ids, w, first, done, size = [], [], [np.zeros(1, np.int64)], 0, 0
+        if ids:
+            yield row()
+
+    spark = texts.sparkSession
+    path, name = sh.shared_dir(spark), f"tidegrid_{uuid.uuid4().hex}"
+    rows = texts.select("doc_id", "text").mapInArrow(encode, ENCODED)
+    rows.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "part").option("path", path).format("parquet").saveAsTable(name)
+    return spark.table(name)
 
 
 def _as_encoded(rows: DataFrame) -> DataFrame:
-    """rows, if they are encoded parts; else those of doc_id and text, dealt into parts first if they are not."""
-    if "seq" in rows.columns:
-        return rows
-    return encoded(rows if "part" in rows.columns else sh.parted(rows)[0])
+    """rows, if they are encoded parts; else those of doc_id and text."""
+    return rows if "seq" in rows.columns else encoded(rows)
 
 
 class _Encoded:
     """One such row."""
 
     def __init__(self, row: dict, held_out: int):
-        self.ids, self.first, self.keys = (np.frombuffer(row[n], k) for n, k in (("ids", "<i8"), ("first", "<i8"), ("keys", "<u8")))
-        self.seq, self.train = np.frombuffer(row["seq"], "<u4"), train_fold(self.ids, held_out)
+        self.ids, self.first, keys = (np.frombuffer(row[n], k) for n, k in (("ids", "<i8"), ("first", "<i8"), ("keys", "<u8")))
+        n = int(self.first[-1])
+        planes = np.frombuffer(pa.decompress(row["seq"], decompressed_size=4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n) if n else np.zeros((4, 0), np.uint8)
+        order = np.argsort(keys)
+        place = np.empty(len(keys), np.uint32)
+        place[order] = np.arange(len(keys), dtype=np.uint32)
+        self.keys, self.seq, self.train = keys[order], place[np.ascontiguousarray(planes.T).view("<u4").reshape(-1)], train_fold(self.ids, held_out)
 
     def chunks(self):
         """Numbers of the tokens, of those before and after them (-1 beyond a text's ends), and whether they are trained on; CHUNK tokens at once."""
@@ -128,7 +151,8 @@ class _Encoded:
 
 def _rows(batches, held_out: int):
     for batch in batches:
-        for row in batch.to_pylist():
+        for i in range(batch.num_rows):
+            row = {name: batch[name][i].as_py() for name in batch.schema.names}
             yield row["part"], _Encoded(row, held_out)
 
 
@@ -300,7 +324,7 @@ def coded(rows: DataFrame, model: ClassModel) -> DataFrame:
         blob = lambda a, b: own[a:b].tobytes() + sizes[a:b].astype("<u2").tobytes() + (codes[at[a] : at[b]] % (2 * SIDE)).astype(np.uint8).tobytes() + n[at[a] : at[b]].astype("<u4").tobytes()
         return pa.table(
             {
-                "part": pa.array(np.full(len(which), row["part"], np.int32)),
+                "part": pa.array(np.full(len(which), row["part"], np.int64)),
                 "bucket": pa.array(which.astype(np.int32)),
                 "n": pa.array((hi - lo).astype(np.int32)),
                 "keys": pa.array([keys[a:b].tobytes() for a, b in zip(lo, hi)], pa.binary()),
@@ -344,7 +368,7 @@ def coded(rows: DataFrame, model: ClassModel) -> DataFrame:
             classes.append(np.where(ok, best[at], k + 2).astype(np.uint8).tobytes() if len(keys) else np.full(len(w), k + 2, np.uint8).tobytes())
             # counts do not change: they go back once
             counts.append(None if turn else (np.where(ok, often[at], 0) if len(keys) else np.zeros(len(w))).astype("<u4" if total < 1 << 32 else "<i8").tobytes())
-        return pa.table({"part": asked["part"].cast(pa.int32()), "bucket": asked["bucket"].cast(pa.int32()), "classes": pa.array(classes, pa.binary()), "counts": pa.array(counts, pa.binary()), "steps": pa.array([steps.tobytes()] + [None] * (len(asked) - 1) if len(asked) else [], pa.binary()), "moved": pa.array([moved] + [0] * (len(asked) - 1) if len(asked) else [], pa.int64())})
+        return pa.table({"part": asked["part"].cast(pa.int64()), "bucket": asked["bucket"].cast(pa.int32()), "classes": pa.array(classes, pa.binary()), "counts": pa.array(counts, pa.binary()), "steps": pa.array([steps.tobytes()] + [None] * (len(asked) - 1) if len(asked) else [], pa.binary()), "moved": pa.array([moved] + [0] * (len(asked) - 1) if len(asked) else [], pa.int64())})
 
     def code(key, table, replies):
         part = _Encoded(table.to_pylist()[0], held_out)
@@ -473,11 +497,10 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out
     of the text, base_score that of smoothed single words. A null text is its end. Equal rows count
     each. Further columns are ignored. An empty table gives no rows.
     """
-    parts, n = sh.parted(docs, doc_id, text, part_bytes)
-    rows = encoded(parts)
+    n = -(-sh.text_bytes(docs, text) // part_bytes)
+    rows = encoded(sh.id_text(docs, doc_id, text), part_bytes)
     model = ClassModel(rows, n, held_out, classes, head)
     texts = sh.stored(coded(rows, model))
-    rows.unpersist()
     log_p, of_class = transitions(texts, classes)
     k, start = classes, classes + 3
     emit = np.where(np.arange(classes + 4) == classes + 2, 0.0, -np.log10(np.maximum(of_class, 1)))
