@@ -68,7 +68,8 @@ def weights_scales(hist: DataFrame, static: DataFrame | None = None, scale_mode:
     series = summed.select("level", F.col("agg_id").alias("id"), F.col(f"{spec.date}.t").alias("t"), F.col(f"{spec.date}.last_t").alias("last_t"), spec.target, "revenue")
     scale = scales_of(series, ["level", "id"], spec.target, scale_mode)
     revenue = series.groupBy("level", "id").agg(F.sum("revenue").alias("revenue"))
-    level = Window.partitionBy("level")
-    total = F.sum("revenue").over(level)
-    weight = F.when(total > 0, F.try_divide(F.col("revenue"), total)).otherwise(1.0 / F.count("*").over(level))
+    # a row for each level, so that no task holds a level's series
+    total = revenue.groupBy("level").agg(F.sum("revenue").alias("total"), F.count("*").alias("series"))
+    weight = F.when(F.col("total") > 0, F.try_divide(F.col("revenue"), F.col("total"))).otherwise(1.0 / F.col("series"))
+    revenue = revenue.join(F.broadcast(total), "level")
     return scale.join(revenue.select("level", "id", weight.alias("weight")), ["level", "id"]).select("level", "id", "scale", "weight")

@@ -16,7 +16,7 @@ DIGITS = 4
 
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return panels.star_panel(spark, sf_dir)
+    return store.star(spark, sf_dir)
 
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,10 +116,12 @@ earned AS (SELECT level, id, sum(revenue) AS revenue FROM leveled GROUP BY level
 ws AS (SELECT e.level, e.id, s.scale, CASE WHEN sum(revenue) OVER (PARTITION BY e.level) > 0 THEN revenue / sum(revenue) OVER (PARTITION BY e.level) ELSE 1.0 / count(*) OVER (PARTITION BY e.level) END AS weight
        FROM earned e JOIN scaled s ON e.level = s.level AND e.id = s.id)"""
 
-SCORES = f""",
+PAIRS = """,
 common AS (SELECT date FROM naive INTERSECT SELECT date FROM actual),
 pairs AS (SELECT s.*, d.date, coalesce(f.sales_quantity, 0) AS f, coalesce(a.sales_quantity, 0) AS a FROM static s CROSS JOIN common d
-          LEFT JOIN naive f ON f.id = s.id AND f.date = d.date LEFT JOIN actual a ON a.id = s.id AND a.date = d.date),
+          LEFT JOIN naive f ON f.id = s.id AND f.date = d.date LEFT JOIN actual a ON a.id = s.id AND a.date = d.date)"""
+
+SCORES = f"""{PAIRS},
 summed AS (SELECT level, agg_id AS id, date, sum(f) AS f, sum(a) AS a FROM (
   {_levels("pairs", "date, f, a", "All")}) GROUP BY level, agg_id, date),
 errors AS (SELECT level, id, avg((a - f) * (a - f)) AS mse FROM summed GROUP BY level, id),
@@ -156,7 +158,7 @@ _MEANS = "round({a}(wm_yr_wk){z}, 4) AS wm_yr_wk, round({a}(wday){z}, 4) AS wday
 
 @query("scan_panel", _sql(f"SELECT {_ROW}, round(sell_price + 3e-7, 4) AS sell_price, item_id, dept_id, cat_id, store_id, state_id, wm_yr_wk, wday, month, year, event_name_1, event_type_1, snap_CA, snap_TX, snap_WI FROM raw"))
 def scan_panel(spark, sf_dir):
-    return rounded(raw(spark, sf_dir), "sales_quantity", "sell_price")
+    return rounded(panels.star_panel(spark, sf_dir), "sales_quantity", "sell_price")
 
 
 @query("clean_events", _sql("SELECT id, date, event_name_1, event_type_1 FROM panel"))
@@ -342,7 +344,7 @@ def bottom_up(spark, sf_dir):
     return rounded(hierarchy.bottom_up(_naive(spark, sf_dir), static(spark, sf_dir)), "sales_quantity")
 
 
-@query("align", _sql("SELECT id, date, round(f, 4) AS f, round(a, 4) AS a FROM pairs WHERE f <> 0 OR a <> 0", GRID, NAIVE, WEIGHTS, SCORES))
+@query("align", _sql("SELECT id, date, round(f, 4) AS f, round(a, 4) AS a FROM pairs WHERE f <> 0 OR a <> 0", GRID, NAIVE, PAIRS))
 def align(spark, sf_dir):
     rows = evaluate.aligned(_naive(spark, sf_dir), actuals(spark, sf_dir), static(spark, sf_dir)).where("f <> 0 or a <> 0")
     return rounded(rows.select("id", "date", "f", "a"), "f", "a")
@@ -414,7 +416,7 @@ def wrmsse(spark, sf_dir):
     return evaluate.wrmsse(evaluate.level_scores(_by_series(spark, sf_dir)))
 
 
-@query("point_metrics", _sql("SELECT round(sum(abs(a - f)) / greatest(sum(a), 1e-8), 6) AS wape, round(sqrt(avg((a - f) * (a - f))), 6) AS rmse, round(avg(abs(a - f)), 6) AS mae FROM pairs", GRID, NAIVE, WEIGHTS, SCORES))
+@query("point_metrics", _sql("SELECT round(sum(abs(a - f)) / greatest(sum(a), 1e-8), 6) AS wape, round(sqrt(avg((a - f) * (a - f))), 6) AS rmse, round(avg(abs(a - f)), 6) AS mae FROM pairs", GRID, NAIVE, PAIRS))
 def point_metrics(spark, sf_dir):
     return rounded(evaluate.point_metrics(_naive(spark, sf_dir), actuals(spark, sf_dir), static(spark, sf_dir)), "wape", "rmse", "mae", digits=6)
 
@@ -515,10 +517,7 @@ def covariate_frames(spark, sf_dir):
 @query("leaderboard")
 def leaderboard(spark, sf_dir):
     """Scores of the naive and seasonal naive forecasts, written as metrics files and read back as a ranking."""
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    base = f"{base.rstrip('/')}/leaderboard-{abs(hash((sf_dir, spark.sparkContext.applicationId)))}"
+    base = f"{store.shared_folder(spark)}/leaderboard-{store.stamp(spark, [f'{sf_dir}/{t}.parquet' for t in store.STAR_TABLES])[:32]}"
     hist, truth, ws, keys = history(spark, sf_dir), actuals(spark, sf_dir), _ws(spark, sf_dir), static(spark, sf_dir)
     for name, f in (("naive", forecast.naive), ("snaive", forecast.seasonal_naive)):
         store.save_metrics(spark, evaluate.evaluate(f(hist, HORIZON), truth, ws, keys), base, "star", CUTOFF, name)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import hashlib
 import json
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,9 +13,10 @@ from pyspark.sql import functions as F
 
 from tidegrid.operators import panel as P
 from tidegrid.operators.weights import weights_scales
-from tidegrid.sources.panels import read_panel
+from tidegrid.sources.panels import read_panel, star_panel
 from tidegrid.spec import DEFAULT, PanelSpec
 
+STAR_TABLES = ("lineitem", "part", "supplier", "nation", "region")
 PREPARED = ("hist", "future", "static", "hist_trimmed", "weights_scales")
 
 
@@ -36,6 +40,40 @@ def complete(spark: SparkSession, path: str) -> bool:
     return fs.exists(at)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a temporary one only where that is unset and driver and executors are one process."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if not hasattr(spark, "_tidegrid_store"):
+        holder = tempfile.TemporaryDirectory(prefix="tidegrid-")
+        atexit.register(holder.cleanup)
+        spark._tidegrid_store = holder
+    return spark._tidegrid_store.name
+
+
+def stamp(spark: SparkSession, paths: list[str]) -> str:
+    """A digest of the names, lengths and times of all files at the paths: it changes with the data."""
+    seen = []
+    for path in paths:
+        fs, at = _fs(spark, path)
+        files = fs.listFiles(at, True)
+        while files.hasNext():
+            f = files.next()
+            seen.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return hashlib.sha256(repr(sorted(seen)).encode()).hexdigest()
+
+
+def star(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The daily panel of a star schema, joined and summed once for as long as its tables do not change, then read from the shared folder: queries that use it many times scan no facts."""
+    at = f"{shared_folder(spark)}/star-{stamp(spark, [f'{sf_dir}/{t}.parquet' for t in STAR_TABLES])[:32]}"
+    if not complete(spark, at):
+        star_panel(spark, sf_dir).write.mode("overwrite").parquet(at)
+    return spark.read.parquet(at)
+
+
 def prepared(spark: SparkSession, path: str, base: str, tag: str, cutoff: str, level: int = 12, force: bool = False, spec: PanelSpec = DEFAULT) -> dict[str, DataFrame]:
     """The five frames of a level and cutoff, from the cache if all of them are complete there, else made and written.
 
