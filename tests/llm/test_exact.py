@@ -191,6 +191,56 @@ def test_secrets():
     assert (s["start"], s["end"]) == (3, 20)
 
 
+def test_secret_structures():
+    blob = lambda n, k=0: bytes((i * 37 + k) % 251 + 1 for i in range(n))
+    number = lambda n, k=0: der(0x02, blob(n, k))
+    algorithm = der(0x30, der(0x06, b"\x2a\x86\x48\x86\xf7\x0d\x01\x01\x01"), der(0x05, b""))
+    rsa = der(0x30, der(0x02, b"\0"), number(128), der(0x02, b"\1\0\1"), number(128, 3), number(64, 5), number(64, 7), number(64, 9), number(64, 11), number(64, 13))
+    pkcs8 = der(0x30, der(0x02, b"\0"), algorithm, der(0x04, rsa))
+    curve = der(0x30, der(0x02, b"\1"), der(0x04, blob(32)))
+    sealed = der(0x30, algorithm, der(0x04, blob(64)))
+    public = der(0x30, algorithm, der(0x03, b"\0" + der(0x30, number(128), der(0x02, b"\1\0\1"))))
+    two = der(0x30, number(128), der(0x02, b"\1\0\1"))
+    certificate = der(0x30, der(0x30, der(0x02, b"\5"), algorithm, public), algorithm, der(0x03, b"\0" + blob(64)))
+    for raw in (rsa, pkcs8, curve, sealed):
+        assert secret_scan.is_der_key(raw)
+        assert not secret_scan.is_der_key(raw + b"\0") and not secret_scan.is_der_key(raw[:-1])
+    for raw in (public, two, certificate, der(0x30, der(0x30))):
+        assert not secret_scan.is_der_key(raw)
+    spans = lambda t: [(s["kind"], t[s["start"] : s["end"]]) for s in secret_scan.scan_text(t)]
+    code = base64.b64encode(pkcs8).decode()
+    for width in (64, 76):
+        for br in ("\n", "\r\n", "\\n", "\n  "):
+            lines = br.join(code[i : i + width] for i in range(0, len(code), width))
+            assert spans(f"key: {lines}\nand so on") == [("der", lines)]
+            assert spans(f"-----BEGIN X-----{br}Comment: a-b{br}{br}{lines}{br}-----END X-----")[0][0] == "der"
+    full = next(x for x in (der(0x30, number(n), number(64), number(64)) for n in range(40, 200)) if len(x) % 48 == 0)
+    code = base64.b64encode(full).decode()  # full lines only, then a word that is no part of it
+    lines = "\n".join(code[i : i + 64] for i in range(0, len(code), 64))
+    assert spans(lines + "\nword") == [("der", lines)]
+    locked = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00\n\n{}\n-----END RSA PRIVATE KEY-----"
+    assert [k for k, _ in spans(locked.format(base64.b64encode(blob(64)).decode()))] == ["der"]
+    assert spans(locked.format(base64.b64encode(blob(61)).decode())) == []
+    assert spans("-----BEGIN CERTIFICATE-----\n" + base64.encodebytes(certificate).decode() + "-----END CERTIFICATE-----") == []
+    raw64 = lambda x: base64.urlsafe_b64encode(x).decode().rstrip("=")
+    for head in (b'{ "alg": "HS256" }', b'{\n"alg": "HS256"}', b'{\t"alg": "HS256"}', b'{\r\n"alg":"HS256"}'):
+        token = f"{raw64(head)}.{raw64(b'{}')}.c2ln"
+        assert spans(f"see {token} here") == [("jwt", token)]
+    # very long texts: runs, lines and openings without an end take time in proportion
+    for t in ("A" * 2_000_000, ("A" * 64 + "\n") * 30_000, "-----BEGIN A-----\n" * 60_000, "eyA" * 500_000, "0a" * 1_000_000):
+        assert len(secret_scan.scan_text(t)) <= 1
+
+
+def test_scan_edges(spark):
+    rows = [(1, "secret=abcdefg", 5), (1, "secret=abcdefg", 5), (None, "secret=abcdefg", 6), (2, None, None), (3, "", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans int")
+    got = secret_scan.scan(docs)
+    assert got.columns == ["doc_id", "spans"]
+    assert sorted((str(r["doc_id"]), len(r["spans"])) for r in got.collect()) == [("1", 1), ("1", 1), ("2", 0), ("3", 0), ("None", 1)]
+    assert secret_scan.scan(docs.limit(0)).count() == 0
+    assert secret_scan.redact(docs.limit(0)).count() == 0
+
+
 def test_redaction(spark):
     docs = X.frame(spark, [(1, "my token = abcdefgh ok"), (2, None), (None, "")])
     got = secret_scan.redact(docs)
