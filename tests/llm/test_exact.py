@@ -115,6 +115,42 @@ def test_proximity(spark):
     assert sum(len(r["positions"]) for r in rows) == 9 + 33 + 3 and all(r["positions"] == sorted(r["positions"]) for r in rows)
 
 
+@pytest.mark.parametrize("span", [4, 12, 40])
+def test_proximity_against_brute_force(spark, span):
+    import random
+
+    rng = random.Random(span)
+    rows = [(i, " ".join(rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randint(0, 80)))) for i in range(60)] + [(60, None), (None, "a b c"), (7, "c b a")]
+    items = [(1, "a b c"), (2, "t a t s"), (3, "q r s t a"), (4, "zz a"), (5, "k")]
+    want = []
+    for i, t in rows:
+        w, hit, found = (t or "").split(), set(), set()
+        for item, x in items:
+            terms = set(x.split())
+            ends = [e for e in range(len(w)) if w[e] in terms]
+            for e in ends:
+                starts = [s for s in range(max(0, e - span + 1), e + 1) if terms <= set(w[s : e + 1])]
+                if starts:
+                    hit |= set(range(max(starts), e + 1))
+                    found.add(str(item))
+        want.append((str(i), len(w), len(hit), sorted(found)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for block_bytes in (8 << 20, 4):
+        got = positional_index.matches(X.frame(spark, rows), bench, size=5, span=span, block_bytes=block_bytes).collect()
+        assert sorted((str(r["doc_id"]), r["n_words"], sum(s["end"] - s["start"] for s in r["spans"]), r["items"]) for r in got) == sorted(want)
+
+
+def test_stored_index(spark, docs):
+    rows = positional_index.index(docs).collect()
+    text = dict(ROWS)
+    for r in rows:
+        one = positional_index.Postings.stored(r.asDict())
+        assert [len(X.TERM.findall((text[i] or "").translate(X.LOWER))) for i in r["ids"]] == np.diff(one.first).tolist()
+        assert sorted(one.positions.tolist()) == list(range(int(one.first[-1])))
+        assert all((np.diff(one.positions[a:b]) > 0).all() for a, b in zip(one.edges, one.edges[1:])) and (np.diff(one.terms.astype(object)) > 0).all()
+    assert sorted(i for r in rows for i in r["ids"]) == sorted(text)
+
+
 def plain_ids(texts):
     from tokenizers import Tokenizer
 
