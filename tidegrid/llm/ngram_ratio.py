@@ -1,13 +1,13 @@
 """Quality rules: a hashed n-gram log-likelihood ratio, in DataFrame operations only.
 
-The n-grams are the last three characters of each word, hashed into `buckets`. Two multinomials over
-the buckets are counted: one over the trusted texts, one over the whole raw corpus. A text's score is
-the mean over its words of log p_trusted - log p_raw, so it does not depend on length; texts under a
-fixed threshold are rejected. Beside it stand the base rules: counts of symbols, repeated lines and
-repeated five-word windows.
-
-Words are exploded and reduced within the scan's stage: the corpus counts leave a task as one row a
-bucket, the scores as one row a text. Only texts with a repeated window sort their windows.
+The n-grams are all whole words and all pairs of neighbouring words, hashed into `buckets`. Two
+multinomials over the buckets are counted: one over the trusted texts, one over the whole raw corpus.
+A text's score is the mean over its n-grams of log p_trusted - log p_raw, so it does not depend on
+length; texts under a fixed threshold are rejected. Beside it stand the base rules: counts of symbols,
+repeated lines and repeated five-word windows.
+
+N-grams are exploded as numbers and reduced within the scan's stage: the corpus counts leave a task as
+one row a bucket, the scores as one row a text. Only texts with a repeated window sort their windows.
 """
 
 from __future__ import annotations
@@ -17,9 +17,12 @@ from pyspark.sql import functions as F
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[^#*$%&|<>]+"
-BUCKETS = 8192
-#: Nats a word. Texts of the trusted kind score about 0, also in a minority language; texts of endings that trusted ones lack, under -2.
-THRESHOLD = -1.0
+BUCKETS = 1 << 20
+PAIR = 1000003
+#: Added to both counts of a bucket, at the trusted texts' scale: an n-gram too rare to tell weighs about nothing.
+PRIOR = 1.0
+#: Nats an n-gram. Texts of the trusted kind score about 0, also in a minority language and unseen ones; see the README for figures.
+THRESHOLD = -0.5
 WINDOW = 5
 TRUSTED_BROADCAST_ROWS = 250_000
 
@@ -29,18 +32,22 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, SPACE), lambda w: w != "")
 
 
-def bucket(word: Column, buckets: int = BUCKETS) -> Column:
-    """A polynomial hash of the code points of the word's last three characters."""
-    gram = F.substring(word, -3, 3)
-    code = lambda i: F.ascii(F.substring(gram, i, 1))
-    return F.pmod(code(1) * 961 + code(2) * 31 + code(3), F.lit(buckets))
-
-
 def _let(value: Column, body) -> Column:
     """body(value) with the value computed once for a row."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def grams(text: Column, buckets: int = BUCKETS) -> Column:
+    """The bucket of each word and of each pair of neighbouring words of a text that is not null."""
+
+    def both(h: Column) -> Column:
+        pairs = F.zip_with(F.slice(h, F.lit(1), F.size(h) - 1), F.slice(h, F.lit(2), F.size(h) - 1), lambda x, y: F.pmod(x * PAIR + y, F.lit(buckets)))
+        words = F.transform(h, lambda x: F.pmod(x, F.lit(buckets)))
+        return F.when(F.size(h) < 2, words).otherwise(F.concat(words, pairs))
+
+    return _let(F.transform(words_of(text), lambda w: F.crc32(w)), both)
+
+
 def _repeated(hashes: Column, k: int) -> Column:
     """How many words stand in windows of k words whose hash occurs twice or more; hashes: of all windows, in order."""
 
@@ -80,11 +87,10 @@ def weights(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: s
     ids = trusted.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(1).alias("good")).distinct()
     ids = F.broadcast(ids) if ids.count() <= TRUSTED_BROADCAST_ROWS else ids
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where(F.col("text").isNotNull())
-    words = texts.join(ids, "doc_id", "left").select("good", F.explode(F.split("text", SPACE)).alias("word")).where("word <> ''")
-    counts = words.select("good", bucket(F.col("word"), buckets).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("raw"), F.count("good").alias("good"))
-    every = Window.partitionBy()
-    share = lambda n: (F.col(n) + 0.5) / (F.sum(n).over(every) + 0.5 * buckets)
-    return counts.select("bucket", (F.log(share("good")) - F.log(share("raw"))).alias("weight"))
+    counts = texts.join(ids, "doc_id", "left").select("good", F.explode(grams(F.col("text"), buckets)).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("raw"), F.count("good").alias("good"))
+    every = Window.partitionBy()  # over a row a bucket, so `buckets` at most
+    scale = F.sum("good").over(every) / F.sum("raw").over(every)
+    return counts.select("bucket", (F.log(F.col("good") + PRIOR) - F.log(F.col("raw") * scale + PRIOR)).alias("weight"))
 
 
 def quality(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
@@ -93,15 +99,16 @@ def quality(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: s
     base_failed: fewer than 10 words, or over a fifth of the words in repeated windows. score: the
     mean log-likelihood ratio, 0 for texts without words. kept: not base_failed and score >=
     threshold. Null texts have no words; a null doc_id stays null and is not trusted; equal rows are
-    judged each. Without trusted texts every weight is about the same for all words, and the base rules
-    decide. Further columns are ignored. An empty table gives no rows.
+    judged each. Without trusted texts every weight is 0, and the base rules decide. A very long text
+    is an array of numbers in its row, and leaves the row one by one. Further columns are ignored. An empty table gives no rows.
     """
     rules = base_rules(docs, doc_id, text)
     table = weights(docs, trusted, doc_id, text, buckets)
     # by doc_id and a hash of the text: rows that agree in both have the same score, however often they occur
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    words = texts.select("id", F.xxhash64("text").alias("of"), F.explode(F.split("text", SPACE)).alias("word")).where("word <> ''")
-    scores = words.select("id", "of", bucket(F.col("word"), buckets).alias("bucket")).join(F.broadcast(table), "bucket").groupBy("id", "of").agg(F.avg("weight").alias("score"))
+    places = texts.where(F.col("text").isNotNull()).select("id", F.xxhash64("text").alias("of"), F.explode(grams(F.col("text"), buckets)).alias("bucket"))
+    # a row a bucket at most, so its size is bounded by `buckets`
+    scores = places.join(F.broadcast(table), "bucket").groupBy("id", "of").agg(F.avg("weight").alias("score"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return (
         rules.join(scores, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("of")), "left")

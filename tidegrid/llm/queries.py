@@ -107,7 +107,11 @@ links AS (SELECT c.a, c.b FROM common c JOIN sizes x ON x.doc_id = c.a JOIN size
 reach AS (SELECT doc_id AS a, doc_id AS b FROM docs UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
 SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, r.c AS component_id, r.c = d.doc_id AS kept FROM docs d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) r ON r.a = d.doc_id"""
 
-_CODE = "CASE WHEN length(g) >= {i} THEN unicode(substr(g, {i}, 1)) ELSE 0 END"
+#: crc32 by its table, which its rule gives; the bytes of a word are read from its hex form.
+_CRC_TABLE = "SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) AS x(i)"
+_NIBBLE = "(instr('0123456789ABCDEF', substr(hex(word), {at}, 1)) - 1)"
+_BYTES = f"list_transform(range(strlen(word)), lambda k: CAST({_NIBBLE.format(at='CAST(2 * k + 1 AS INT)')} * 16 + {_NIBBLE.format(at='CAST(2 * k + 2 AS INT)')} AS BIGINT))"
+_CRC = f"xor(4294967295, list_reduce(list_prepend(4294967295, {_BYTES}), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])))"
 _SQL10 = f"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {_WORDS.format(text="coalesce(text, '')")} AS w,
   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM documents),
@@ -115,9 +119,11 @@ words AS (SELECT r, doc_id, unnest(w) AS word, unnest(generate_series(1, len(w))
 windows AS (SELECT r, i, array_to_string(w[i:i + 4], ' ') AS k FROM (SELECT r, w, unnest(generate_series(1, len(w) - 4)) AS i FROM docs WHERE len(w) >= 5)),
 twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, k) AS n FROM windows) WHERE n > 1),
 repeated AS (SELECT r, count(DISTINCT i + j) AS n FROM twice CROSS JOIN range(0, 5) AS x(j) GROUP BY r),
-grams AS (SELECT r, doc_id, ({_CODE.format(i=1)} * 961 + {_CODE.format(i=2)} * 31 + {_CODE.format(i=3)}) % {ngram_ratio.BUCKETS} AS bucket FROM (SELECT r, doc_id, right(word, 3) AS g FROM words)),
+crc AS (SELECT word, {_CRC} AS h FROM (SELECT DISTINCT word FROM words), ({_CRC_TABLE})),
+hashed AS (SELECT r, doc_id, h, lead(h) OVER (PARTITION BY r ORDER BY i) AS next FROM words JOIN crc USING (word)),
+grams AS (SELECT r, doc_id, h % {ngram_ratio.BUCKETS} AS bucket FROM hashed UNION ALL SELECT r, doc_id, (h * {ngram_ratio.PAIR} + next) % {ngram_ratio.BUCKETS} FROM hashed WHERE next IS NOT NULL),
 counts AS (SELECT bucket, count(*) AS raw, count(*) FILTER (WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)) AS good FROM grams GROUP BY bucket),
-weights AS (SELECT bucket, ln((good + 0.5) / (sum(good) OVER () + 0.5 * {ngram_ratio.BUCKETS})) - ln((raw + 0.5) / (sum(raw) OVER () + 0.5 * {ngram_ratio.BUCKETS})) AS weight FROM counts),
+weights AS (SELECT bucket, ln(good + {ngram_ratio.PRIOR}) - ln(raw * (sum(good) OVER () / sum(raw) OVER ()) + {ngram_ratio.PRIOR}) AS weight FROM counts),
 scores AS (SELECT r, avg(weight) AS score FROM grams JOIN weights USING (bucket) GROUP BY r),
 rules AS (SELECT d.r, d.doc_id, len(w) AS n_words, coalesce(len(array_to_string(w, '')), 0) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
   len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(x.n, 0) AS n_repeat_words FROM docs d LEFT JOIN repeated x ON x.r = d.r)
