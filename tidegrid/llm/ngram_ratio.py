@@ -106,7 +106,9 @@ def quality(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: s
     table = weights(docs, trusted, doc_id, text, buckets)
     # by doc_id and a hash of the text: rows that agree in both have the same score, however often they occur
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    places = texts.where(F.col("text").isNotNull()).select("id", F.xxhash64("text").alias("of"), F.explode(grams(F.col("text"), buckets)).alias("bucket"))
+    # mark and n-grams once for a text, before they leave it; explode_outer, as a filter for explode would make the n-grams again
+    marked = texts.where(F.col("text").isNotNull()).select("id", F.xxhash64("text").alias("of"), grams(F.col("text"), buckets).alias("grams"))
+    places = marked.select("id", "of", F.explode_outer("grams").alias("bucket"))
     # a row a bucket at most, so its size is bounded by `buckets`
     scores = places.join(F.broadcast(table), "bucket").groupBy("id", "of").agg(F.avg("weight").alias("score"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
