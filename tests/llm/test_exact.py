@@ -311,6 +311,26 @@ def test_class_model_beats_single_words(spark):
     assert got["s"] > got["b"] * 0.85  # the order of the kinds is learnt
 
 
+def test_exchange_ends_where_no_move_raises_the_likelihood():
+    xlogx = lambda x: float((x[x > 0] * np.log(x[x > 0])).sum())
+
+    def likelihood(n, own):
+        hot = np.eye(own.max() + 1)[own]
+        c = hot.T @ n @ hot
+        return xlogx(c) - xlogx(c.sum(axis=0)) - xlogx(c.sum(axis=1))
+
+    for seed in range(20):
+        rng = np.random.default_rng(seed)
+        n = rng.poisson(rng.gamma(0.3, 20, (17, 17)))
+        own = np.concatenate([class_ngrams.exchange(n, 4, 2), [4, 5]])
+        most = likelihood(n, own)
+        for w in range(15):
+            for k in range(4):
+                other = own.copy()
+                other[w] = k
+                assert likelihood(n, other) <= most + 1e-4 * (1 + n[w].sum() + n[:, w].sum()), (seed, w, k)
+
+
 def test_rare_words_get_classes_from_rare_neighbours(spark):
     # a pair of words seen nowhere else follows two frequent words: the second of them has rare neighbours alone
     rows = [(i, f"aa bb r{i} s{i} t{i}") for i in range(400)]

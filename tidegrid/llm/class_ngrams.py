@@ -178,7 +178,8 @@ def exchange(n: np.ndarray, k: int, fixed: int) -> np.ndarray:
     """A class below k for each head word: n is their bigram count matrix, its last `fixed` lines and columns have classes of their own after k.
 
     Words start dealt by frequency; each then moves to the class that raises the sum of x log x over class
-    bigrams most, less that over class totals, until nobody moves. A move must raise the sum, so this ends.
+    bigrams most, less that over class totals, until nobody moves. A move must raise the sum by more than
+    rounding can, so no state comes twice and this ends.
     """
     m = len(n) - fixed
     own = np.concatenate([np.arange(m) % k, k + np.arange(fixed)])
@@ -188,6 +189,7 @@ def exchange(n: np.ndarray, k: int, fixed: int) -> np.ndarray:
     hot[np.arange(len(n)), own] = 1
     n = n.astype(np.float64)
     c = hot.T @ n @ hot
+    rounding = 8 * size * np.finfo(np.float64).eps * float(f(c.sum()))
     while True:
         moved = 0
         for w in range(m):
@@ -199,7 +201,8 @@ def exchange(n: np.ndarray, k: int, fixed: int) -> np.ndarray:
             c[a] -= right
             c[:, a] -= left
             c[a, a] -= self_
-            rows, columns = c.sum(axis=1), c.sum(axis=0)
+            # what w has beside the other classes stays in their totals, whichever class takes w
+            rows, columns = c.sum(axis=1) + left, c.sum(axis=0) + right
             # put it into each class in turn: only that class' line, column and diagonal change
             gain = (f(c[:k] + right[None, :]) - f(c[:k])).sum(axis=1) + (f(c[:, :k] + left[:, None]) - f(c[:, :k])).sum(axis=0)
             i = np.arange(k)
@@ -207,7 +210,7 @@ def exchange(n: np.ndarray, k: int, fixed: int) -> np.ndarray:
             gain += f(d + right[:k] + left[:k] + self_) - f(d + right[:k]) - f(d + left[:k]) + f(d)
             gain -= f(rows[:k] + right.sum() + self_) - f(rows[:k]) + f(columns[:k] + left.sum() + self_) - f(columns[:k])
             new = int(np.argmax(gain))
-            if gain[new] <= gain[a] + 1e-6 * (1 + abs(gain[a])):
+            if gain[new] <= gain[a] + 1e-6 * (1 + abs(gain[a])) + rounding:
                 new = int(a)
             c[new] += right
             c[:, new] += left
