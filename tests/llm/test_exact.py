@@ -182,6 +182,21 @@ def test_packing_round_trip(docs):
         assert bound <= len(sequences) <= bound * 1.1 + 1
 
 
+def test_words_that_come_again_outlast_a_full_cache(monkeypatch):
+    coder = best_fit.WordTokenizer(best_fit.vocabulary_path())
+    learn, learned = coder.learn, []
+    monkeypatch.setattr(coder, "learn", lambda new: (learned.extend(new), learn(new))[1])
+    monkeypatch.setattr(best_fit, "CACHE_WORDS", 40)
+    name = lambda k: "".join(chr(97 + int(d)) for d in str(k))
+    for k in range(30):
+        texts = ["Common words, they're often: " + " ".join(name(1000 + 20 * k + i) for i in range(15)), "", "a <|endoftext|> common", f"{k}", "çà « Été »"]
+        raw = [t.encode() for t in texts]
+        ids, at = coder.encode(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]))
+        assert [ids[x:y].tolist() for x, y in zip(at, at[1:])] == [[*coder.tokenizer.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    assert learned.count(b"common") == learned.count(b"words") == 1
+    assert len(coder.number) < 80
+
+
 def test_pieces_can_carry_ids(spark):
     rows = best_fit.pieces(X.frame(spark, [(1, "Hello  World <|endoftext|> it's"), (2, None)]), ids=True).collect()
     assert {r["doc_id"]: r["ids"] for r in rows} == dict(zip((1, 2), plain_ids(["Hello  World <|endoftext|> it's", ""])))

@@ -1,7 +1,7 @@
 """Bound-certified best-fit packing of tokenised documents.
 
-Documents become token ids (tokenizers, word by word through a cache) and an end id; only longer ones
-are cut. Full pieces stand alone. The others are dealt into partitions of bounded size, each packed
+Documents become token ids (tokenizers, each distinct word of a block once, through a cache) and an end
+id; only longer ones are cut. Full pieces stand alone. The others are dealt into partitions of bounded size, each packed
 by best-fit decreasing. Dual-feasible functions give each partition a lower bound of its bin count:
 where the packing meets it, it is certified as optimal and closed. Partitions with a gap give up
 their worst-filled bins' documents, which are dealt anew across partitions and packed again, for a
@@ -26,6 +26,8 @@ SIZE = 2048
 END_ID = 0
 #: About 45 MB of a Python worker, which keeps it between tasks.
 CACHE_WORDS = 300_000
+#: Texts are encoded in blocks of about so many bytes: larger ones look up fewer distinct words in all.
+BLOCK_BYTES = 2 << 20
 PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
 PACKED = "doc_id long, row long, piece int, start long, length long, ids_crc32 long, part long, bin long, offset long, fill long, gap long"
 
@@ -64,6 +66,12 @@ def cuts(b: np.ndarray) -> np.ndarray:
     return np.flatnonzero(sign | digit) + 1
 
 
+def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... of sizes[0] numbers, and so on for each."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class WordTokenizer:
     """Token ids of whole texts. White space ends every token of this vocabulary's pre-tokenizer, so words are encoded once and remembered.
 
@@ -94,11 +102,32 @@ class WordTokenizer:
         self.number: dict[bytes, int] = {}
         self.flat = np.array([END_ID], np.uint32)  # number 0 is the end of a document
         self.at = np.array([0, 1], np.int64)
+        self.again = np.zeros(1, bool)  # whether a later block had the word as well
+
+    def forget(self) -> None:
+        """Keeps the words that a later block had as well, or none if they are more than half of the cache."""
+        words, again = list(self.number), self.again
+        numbers = np.fromiter(self.number.values(), np.int64, len(words))
+        on = np.flatnonzero(again[numbers])
+        flat, at = self.flat, self.at
+        self.clear()
+        if 0 < len(on) <= CACHE_WORDS // 2:
+            sizes = at[numbers[on] + 1] - at[numbers[on]]
+            self._add([words[i] for i in on.tolist()], [flat[_runs(at[numbers[on]], sizes)]], [sizes])
+
+    def _add(self, words: list[bytes], flat: list[np.ndarray], sizes: list[np.ndarray]) -> None:
+        base, n = len(self.at) - 1, np.concatenate(sizes)
+        assert len(n) == len(words)
+        self.number.update(zip(words, range(base, base + len(words))))
+        self.flat = np.concatenate([self.flat, *flat])
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(n)])
+        self.again = np.concatenate([self.again, np.zeros(len(words), bool)])
 
     def learn(self, new: list[bytes]) -> None:
-        plain = [w for w in new if _LETTERS.fullmatch(w)]
-        other = [w for w in new if not _LETTERS.fullmatch(w)]
-        flat, sizes = [self.flat], []
+        plain, other = [], []
+        for w in new:
+            (plain if _LETTERS.fullmatch(w) else other).append(w)
+        flat, sizes = [], []
         for k in range(0, len(plain), 20_000):  # words of letters are one pre-token each, whose last id ends a word
             ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(plain[k : k + 20_000]).decode()], add_special_tokens=False)[0].ids, np.uint32)
             flat.append(ids)
@@ -107,42 +136,36 @@ class WordTokenizer:
             ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in other], add_special_tokens=False)]
             flat.append(np.array([x for i in ids for x in i], np.uint32))
             sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
-        base = len(self.at) - 1
-        self.number.update(zip([*plain, *other], range(base, base + len(new))))
-        sizes = np.concatenate(sizes)
-        assert len(sizes) == len(new)
-        self.flat = np.concatenate(flat)
-        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
+        self._add([*plain, *other], flat, sizes)
 
     def encode(self, b: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a block of texts, each text with its end id, and where each text starts (and the last ends)."""
-        special = b"<|" in b.tobytes()
         cut = cuts(b)
         low = np.insert(tv.LOWER[b], cut, 0x20)
-        ends = offs + np.searchsorted(cut, offs, "left")
-        split = [low[x:y].tobytes().split() for x, y in zip(ends, ends[1:])]
-        if special:
-            raw = {i: t for i, t in enumerate(b[x:y].tobytes() for x, y in zip(offs, offs[1:])) if b"<|" in t}
-            for i in raw:
-                split[i] = []
+        rows = offs + np.searchsorted(cut, offs, "left")
+        special = {i: t for i, t in enumerate(b[x:y].tobytes() for x, y in zip(offs, offs[1:])) if b"<|" in t} if b"<|" in b.tobytes() else {}
+        for i in special:
+            low[rows[i] : rows[i + 1]] = 0x20
+        starts, ends, first = tv.words(low, rows)
+        place = np.concatenate([[0], np.cumsum(ends - starts)])
+        words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(place), pa.py_buffer(low[tv.NON_SPACE[low]])]).dictionary_encode()
+        distinct = words.dictionary.to_pylist()
         if len(self.number) > CACHE_WORDS:
-            self.clear()
-        new = set().union(*split) - self.number.keys()
-        if new:
-            self.learn(sorted(new))
-        get = self.number.__getitem__
-        order: list[int] = []
-        for words in split:
-            order.extend(map(get, words))
-            order.append(0)
-        which = np.array(order, np.int64)
+            self.forget()
+        number = np.array([self.number.get(w, -1) for w in distinct], np.int64)
+        self.again[number[number >= 0]] = True
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            unknown = [distinct[i] for i in new.tolist()]
+            self.learn(unknown)
+            number[new] = [self.number[w] for w in unknown]
+        which = np.insert(number[words.indices.to_numpy()], first[1:], 0)
         sizes = self.at[which + 1] - self.at[which]
-        ends = np.cumsum(sizes)
-        ids = self.flat[np.repeat(self.at[which] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
-        at = np.concatenate([[0], ends[which == 0]])
+        ids = self.flat[_runs(self.at[which], sizes)]
+        at = np.concatenate([[0], np.cumsum(sizes)[which == 0]])
         if special:
             runs = [ids[x:y] for x, y in zip(at, at[1:])]
-            for i, t in raw.items():
+            for i, t in special.items():
                 runs[i] = np.array([*self.tokenizer.encode(t.decode(), add_special_tokens=False).ids, END_ID], np.uint32)
             ids, at = np.concatenate(runs), np.concatenate([[0], np.cumsum([len(r) for r in runs])])
         return ids, at
@@ -159,7 +182,7 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: in
     def run(batches):
         coder = WordTokenizer.of(path)
         for batch in batches:
-            for lo, hi, b, offs in tv.blocks(batch["text"]):
+            for lo, hi, b, offs in tv.blocks(batch["text"], BLOCK_BYTES):
                 flat, at = coder.encode(b, offs)
                 flat = flat.astype("<u4")
                 n = np.diff(at)
